@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -25,7 +26,6 @@ def _views_used(sql: str) -> list[str]:
 
 
 def _mentions(text: str, name: str) -> bool:
-    import re
     return re.search(rf"(?i)\b(?:from|join)\s+{name}\b|,\s*{name}\s+\w+\s*(?:where|$)", text) is not None
 
 
@@ -34,6 +34,8 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not ctes:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

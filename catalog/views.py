@@ -106,6 +106,86 @@ SELECT 'h' || CAST(event_id AS STRING)                   AS id,
        'Evento ' || event_type                           AS description
 FROM {events}"""
 
+VIEWS["plan_changes"] = """
+SELECT id AS plan_id,
+       CAST(CAST(substr(code, 9) AS BIGINT) AS BIGINT)   AS change_no,
+       CASE WHEN progress_pct % 4 = 0 THEN 'Finalizado' WHEN progress_pct % 6 = 0 THEN 'En proceso' ELSE NULL END AS status,
+       CASE WHEN progress_pct % 10 = 0 THEN 100 WHEN progress_pct % 14 = 0 THEN 250 ELSE NULL END AS progress_pct,
+       progress_pct % 8 = 0                              AS confirm_finalize
+FROM {action_plans}
+WHERE substr(target_date, 9, 2) IN ('01', '15')"""
+
+VIEWS["plan_log"] = """
+SELECT 'a' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS plan_id,
+       max(l_partkey) * 100000 + max(l_suppkey) * 10 + l_linenumber AS change_no,
+       CASE WHEN max(l_partkey) % 5 = 0 THEN 'Finalizado' WHEN max(l_partkey) % 5 = 1 THEN 'En proceso' ELSE NULL END AS status,
+       CASE WHEN max(l_suppkey) % 3 = 0 THEN 100 WHEN max(l_suppkey) % 3 = 1 THEN CAST(max(l_quantity) AS INT) ELSE NULL END AS progress_pct,
+       max(l_partkey) % 2 = 0                            AS confirm_finalize
+FROM {lineitem}
+GROUP BY l_orderkey, l_linenumber, l_partkey"""
+
+VIEWS["finding_edits"] = """
+SELECT id, CASE CAST(substr(code, 8) AS BIGINT) % 9 WHEN 0 THEN 'cerrado' WHEN 1 THEN 'En proceso' WHEN 2 THEN 'stand-by' ELSE NULL END AS status,
+       CASE WHEN CAST(substr(code, 8) AS BIGINT) % 4 = 0 THEN 'Resp editado' ELSE NULL END AS action_owner,
+       CASE WHEN CAST(substr(code, 8) AS BIGINT) % 5 = 0 THEN 'Título nuevo' ELSE NULL END AS title
+FROM {findings}"""
+
+VIEWS["proposal_edits"] = """
+SELECT id, CASE CAST(substr(code, 9) AS BIGINT) % 11 WHEN 0 THEN 'Implementada' WHEN 1 THEN 'En proceso' WHEN 2 THEN 'stand-by' ELSE NULL END AS status,
+       CASE CAST(substr(code, 9) AS BIGINT) % 11 WHEN 3 THEN '15/03/1999' WHEN 4 THEN 'a definir' ELSE NULL END AS target_date,
+       CASE WHEN CAST(substr(code, 9) AS BIGINT) % 6 = 0 THEN 'Resp editado' ELSE NULL END AS action_owner
+FROM {proposals}"""
+
+# A findings sheet per report. Rows of a finding stand together: the row number is the customer key
+# followed by the order key, so no window is needed to number the rows.
+VIEWS["sheet_rows"] = """
+SELECT f.report_id AS file, (CAST(substr(f.id, 2) AS BIGINT) + 1) * 10000000000 + coalesce(p.n, 0) AS row_no,
+       CASE WHEN coalesce(p.n, 0) = coalesce(m.n, 0) THEN coalesce(f.responsible_area, '') ELSE '' END AS area,
+       CASE WHEN coalesce(p.n, 0) = coalesce(m.n, 0) AND CAST(substr(f.id, 2) AS BIGINT) % 17 <> 0 THEN f.code ELSE '' END AS h_code,
+       CASE WHEN coalesce(p.n, 0) = coalesce(m.n, 0) AND CAST(substr(f.id, 2) AS BIGINT) % 23 <> 0 THEN f.situation ELSE '' END AS situation,
+       CASE WHEN p.n % 19 = 0 THEN '' ELSE coalesce(p.code, '') END AS p_code, coalesce(p.title, '') AS prop_text,
+       coalesce(f.severity, '') AS risk, coalesce(p.action_owner, '') AS owner, coalesce(p.target_date, '') AS target_date,
+       coalesce(p.status, '') AS status, CASE p.n % 5 WHEN 0 THEN '100%' WHEN 1 THEN '0.5' WHEN 2 THEN '30' ELSE '' END AS pct,
+       CASE WHEN p.n % 4 = 0 THEN 'Acción ' || CAST(p.n AS STRING) ELSE '' END AS actions, coalesce(f.observations, '') AS obs
+FROM {findings} f
+LEFT JOIN (SELECT finding_id, code, title, action_owner, target_date, status, CAST(substr(id, 2) AS BIGINT) AS n FROM {proposals}) p ON p.finding_id = f.id
+LEFT JOIN (SELECT finding_id, min(CAST(substr(id, 2) AS BIGINT)) AS n FROM {proposals} GROUP BY finding_id) m ON m.finding_id = f.id"""
+
+VIEWS["sheet_proposals"] = """
+SELECT f.report_id AS file, p.n * 2 AS row_no,
+       CASE p.n % 6 WHEN 0 THEN p.code WHEN 1 THEN 'PM-X-' || CAST(p.n AS STRING) WHEN 2 THEN 'PM-Y-' || CAST(p.n AS STRING) ELSE '' END AS p_code,
+       'Texto revisado ' || CAST(p.n AS STRING) AS prop_text,
+       CASE p.n % 6 WHEN 2 THEN 'H-0' WHEN 4 THEN '' WHEN 5 THEN '' ELSE f.code END AS h_code,
+       '' AS area, CASE WHEN p.n % 4 = 0 THEN 'Responsable nuevo' ELSE '' END AS owner,
+       CASE WHEN p.n % 7 = 0 THEN '2026-11-30' ELSE '' END AS target_date, 'Pendiente' AS status
+FROM (SELECT finding_id, code, CAST(substr(id, 2) AS BIGINT) AS n FROM {proposals}) p JOIN {findings} f ON p.finding_id = f.id
+UNION ALL
+SELECT f.report_id, p.n * 2 + 1, 'PM-X-' || CAST(p.n AS STRING), '', '', '', 'Segundo responsable', '', ''
+FROM (SELECT finding_id, CAST(substr(id, 2) AS BIGINT) AS n FROM {proposals}) p JOIN {findings} f ON p.finding_id = f.id
+WHERE p.n % 6 = 1"""
+
+VIEWS["sheet_plans"] = """
+SELECT f.report_id AS file, CAST(substr(a.code, 9) AS BIGINT) AS row_no,
+       CASE WHEN CAST(substr(a.code, 9) AS BIGINT) % 7 = 6 THEN 'X1' ELSE a.code END AS pa_code, a.action_text,
+       CASE CAST(substr(a.code, 9) AS BIGINT) % 7 WHEN 2 THEN 'PM-0' WHEN 3 THEN '' WHEN 4 THEN '' ELSE p.code END AS p_code,
+       CASE CAST(substr(a.code, 9) AS BIGINT) % 7 WHEN 1 THEN 'H-0' WHEN 4 THEN '' WHEN 5 THEN '' ELSE f.code END AS h_code,
+       coalesce(a.action_owner, '') AS owner, a.target_date, CAST(a.progress_pct AS STRING) || '%' AS pct, a.status, a.notes AS obs
+FROM {action_plans} a JOIN {proposals} p ON a.proposal_id = p.id JOIN {findings} f ON p.finding_id = f.id"""
+
+# The same finding sheet as landed cells, under three kinds of headers.
+VIEWS["sheet_headers"] = """
+SELECT 'r' || CAST(n_nationkey AS STRING) AS file, 'Hallazgos' AS sheet, h.col_no, h.value
+FROM {nation} JOIN (
+  SELECT 0 AS kind, 0 AS col_no, 'Área / Proceso' AS value UNION ALL SELECT 0, 1, 'ID Hallazgo' UNION ALL SELECT 0, 2, 'Hallazgo (Situación Observada)'
+  UNION ALL SELECT 0, 3, 'ID Propuesta' UNION ALL SELECT 0, 4, 'Propuesta de Mejora (Recomendación)' UNION ALL SELECT 0, 5, 'Riesgo'
+  UNION ALL SELECT 0, 6, 'Responsable' UNION ALL SELECT 0, 7, 'Fecha compromiso' UNION ALL SELECT 0, 8, 'Estado' UNION ALL SELECT 0, 9, 'Avance'
+  UNION ALL SELECT 0, 10, 'Acciones' UNION ALL SELECT 0, 11, 'Observaciones'
+  UNION ALL SELECT 1, 0, 'Sector' UNION ALL SELECT 1, 1, 'Código Hallazgo' UNION ALL SELECT 1, 2, 'Desviación' UNION ALL SELECT 1, 3, 'Propuesta vinculada'
+  UNION ALL SELECT 1, 4, 'Medida' UNION ALL SELECT 1, 5, 'Criticidad' UNION ALL SELECT 1, 6, 'Líder' UNION ALL SELECT 1, 7, 'Plazo' UNION ALL SELECT 1, 8, 'Estatus'
+  UNION ALL SELECT 1, 9, '% hecho' UNION ALL SELECT 1, 10, 'Plan' UNION ALL SELECT 1, 11, 'Notas' UNION ALL SELECT 1, 12, 'Otro responsable'
+  UNION ALL SELECT 2, 0, 'a' UNION ALL SELECT 2, 1, 'b' UNION ALL SELECT 2, 2, 'c' UNION ALL SELECT 2, 3, 'd' UNION ALL SELECT 2, 4, 'e'
+) h ON h.kind = n_nationkey % 3"""
+
 ENTITIES = ["reports", "findings", "proposals", "action_plans", "audit_history"]
 
 

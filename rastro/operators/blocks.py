@@ -7,6 +7,8 @@ the per-block totals are combined by a second, small window, and the combined va
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,28 +34,33 @@ def _combine(kind: str, before: Column, here: Column) -> Column:
 
 
 def running(df: DataFrame, keys: list[str], order: str, specs: dict[str, tuple[str, Column]],
-            span: int = DEFAULT_SPAN) -> DataFrame:
-    """Add running values up to and including each row.
+            span: int | None = DEFAULT_SPAN) -> DataFrame:
+    """Add running values per key.
 
     ``specs`` maps an output column to (kind, expression); kinds are ``sum``, ``max``, ``min`` and
-    ``last`` (the last value that is not NULL). ``order`` is an integer column, unique within the
-    keys; ``span`` is the width of a block in its units.
+    ``last`` (the last value that is not NULL), up to and including the row, or, with a trailing
+    ``<``, up to the row before it. ``order`` is an integer column, unique within the keys; ``span``
+    is the width of a block in its units. ``span=None`` says that the rows of a key are known to fit
+    one task (they came out of one input row) and uses one plain window.
     """
+    kinds = {n: k.rstrip("<") for n, (k, _) in specs.items()}
+    ends = {n: -1 if k.endswith("<") else 0 for n, (k, _) in specs.items()}
+    parts = keys if span is None else [*keys, _BLOCK]
     hidden = {f"__v_{n}": e for n, (_, e) in specs.items()}
-    base = df.withColumns({_BLOCK: F.floor(F.col(order) / span), **hidden})
-    here = Window.partitionBy(*keys, _BLOCK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    local = base.withColumns({n: _local(k, F.col(f"__v_{n}"), here) for n, (k, _) in specs.items()})
-
-    totals = base.groupBy(*keys, _BLOCK).agg(
-        *[_total(k, F.col(f"__v_{n}"), F.col(order)).alias(f"__t_{n}") for n, (k, _) in specs.items()])
+    base = df.withColumns(hidden if span is None else {_BLOCK: F.floor(F.col(order) / span), **hidden})
+    w = Window.partitionBy(*parts).orderBy(order)
+    local = base.withColumns({n: _local(kinds[n], F.col(f"__v_{n}"), w.rowsBetween(Window.unboundedPreceding, ends[n])) for n in specs})
+    if span is None:
+        zero = {n: F.coalesce(F.col(n), F.lit(0)) for n in specs if kinds[n] == "sum"}
+        return local.withColumns(zero).select(*df.columns, *specs)
+
+    totals = base.groupBy(*parts).agg(*[_total(kinds[n], F.col(f"__v_{n}"), F.col(order)).alias(f"__t_{n}") for n in specs])
     before = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        *keys, _BLOCK, *[_local(k, F.col(f"__t_{n}"), before).alias(f"__c_{n}") for n, (k, _) in specs.items()])
+    carried = totals.select(*parts, *[_local(kinds[n], F.col(f"__t_{n}"), before).alias(f"__c_{n}") for n in specs])
     # A first block carries nothing in, so the table joined back holds only keys that span blocks.
-    carried = carried.filter(F.greatest(*[F.col(f"__c_{n}").isNotNull() for n in specs])
-                             if len(specs) > 1 else F.col(f"__c_{next(iter(specs))}").isNotNull())
-    out = local.join(carried, [*keys, _BLOCK], "left")
-    out = out.withColumns({n: _combine(k, F.col(f"__c_{n}"), F.col(n)) for n, (k, _) in specs.items()})
+    carried = carried.filter(reduce(lambda a, b: a | b, [F.col(f"__c_{n}").isNotNull() for n in specs]))
+    out = local.join(carried, parts, "left")
+    out = out.withColumns({n: _combine(kinds[n], F.col(f"__c_{n}"), F.col(n)) for n in specs})
     return out.select(*df.columns, *specs)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,17 @@ def durable_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def settle(df: DataFrame, purpose: str) -> DataFrame:
+    """Write an intermediate result once to the shared folder and go on from the written table.
+
+    Used where a result is read several times: the plan is cut, and a lost executor costs a re-read
+    instead of the whole lineage.
+    """
+    path = durable_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def today() -> Column:
     """Default cut date: the calendar day in Buenos Aires."""
     return F.to_date(F.from_utc_timestamp(F.current_timestamp(), "America/Buenos_Aires"))
