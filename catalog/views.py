@@ -186,6 +186,35 @@ FROM {nation} JOIN (
   UNION ALL SELECT 2, 0, 'a' UNION ALL SELECT 2, 1, 'b' UNION ALL SELECT 2, 2, 'c' UNION ALL SELECT 2, 3, 'd' UNION ALL SELECT 2, 4, 'e'
 ) h ON h.kind = n_nationkey % 3"""
 
+# Audit-report text by line: headings, severity phrases, recommendations and a proposals section.
+_K = "SELECT l_orderkey AS doc_id, l_linenumber AS n, max(l_partkey) AS part, max(l_quantity) AS q FROM {lineitem} GROUP BY l_orderkey, l_linenumber"
+VIEWS["report_items"] = _K
+VIEWS["report_lines"] = """
+SELECT DISTINCT doc_id, 0 AS line_no, 'Informe de Auditoría Interna ' || CAST(doc_id AS STRING) AS line FROM {report_items}
+UNION ALL SELECT DISTINCT doc_id, 1, 'Área auditada: Sector ' || CAST(doc_id % 7 AS STRING) FROM {report_items}
+UNION ALL SELECT doc_id, n * 10, 'Hallazgo ' || CAST(n AS STRING) || ': desvío en parte ' || CAST(part AS STRING) FROM {report_items}
+UNION ALL SELECT doc_id, n * 10 + 1, CASE WHEN q >= 40 THEN 'Riesgo: Alto' WHEN q <= 10 THEN 'Riesgo: Bajo' ELSE 'Sin nivel informado' END FROM {report_items}
+UNION ALL SELECT doc_id, n * 10 + 2, 'Recomendación: revisar la parte ' || CAST(part AS STRING) FROM {report_items} WHERE part % 2 = 0
+UNION ALL SELECT DISTINCT doc_id, 900, '7. PROPUESTAS DE MEJORA:' FROM {report_items}
+UNION ALL SELECT DISTINCT doc_id, 901, '1. Fortalecer los controles para los Hallazgos 1, 2 y 3.' FROM {report_items}
+UNION ALL SELECT DISTINCT doc_id, 902, '2. Actualizar el manual de procedimientos generales.' FROM {report_items}
+UNION ALL SELECT DISTINCT doc_id, 903, '- Capacitar al personal del hallazgo n° 4' FROM {report_items}
+UNION ALL SELECT DISTINCT doc_id, 904, 'y dejar constancia en acta.' FROM {report_items}
+UNION ALL SELECT DISTINCT doc_id, 905, 'Anexos' FROM {report_items}"""
+
+# The given documents as they are, below audit headings, or below a pipe-table header.
+VIEWS["report_texts"] = """
+SELECT doc_id, 'doc-' || CAST(doc_id AS STRING) || '.txt' AS filename,
+  CASE doc_id % 4
+  WHEN 1 THEN 'Informe de Auditoría ' || CAST(doc_id AS STRING) || chr(10) || 'Área auditada: Sector ' || CAST(doc_id % 7 AS STRING) || chr(10) ||
+    'Auditor: Equipo ' || CAST(doc_id % 3 AS STRING) || chr(10) || 'Hallazgo 1: pagos sin doble firma' || chr(10) || 'Riesgo: Alto' || chr(10) || text || chr(10) ||
+    'Hallazgo 5: ' || CAST(doc_id AS STRING) || chr(10) || 'Resumen: se revisó la muestra completa.' || chr(10) || 'Recomendación: ' || text || chr(10) ||
+    '7. PROPUESTAS DE MEJORA' || chr(10) || '1. Configurar la firma conjunta (Hallazgo 1).' || chr(10) || '- Revisar procesos generales.'
+  WHEN 2 THEN 'Listado' || chr(10) || 'Código | Hallazgo | Riesgo | Propuesta de mejora | Área' || chr(10) || 'T-' || CAST(doc_id AS STRING) ||
+    ' | Falta conciliar saldos | riesgo alto | Conciliar por mes | Tesorería' || chr(10) || text
+  ELSE text END AS text
+FROM {documents}"""
+
 ENTITIES = ["reports", "findings", "proposals", "action_plans", "audit_history"]
 
 
