@@ -62,9 +62,7 @@ query("text_titles", f"""WITH a AS (SELECT doc_id, {Q.clean('text')} AS w, trim(
  SELECT doc_id, CASE WHEN b = '' THEN substr('Observación n° ' || doc_id || ':', 1, 100) ELSE upper(substr(c, 1, 1)) || substr(c, 2) END AS title FROM t""")(
     lambda db: db.base("documents").select("doc_id", X.clean_title(F.concat(F.lit("Observación n° "), F.col("doc_id").cast("string"), F.lit(": "), "text")).alias("title")))
 query("text_references", f"""WITH m AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '(?i)\\b(?:hallazgos?|observaci[oó]n(?:es)?|desviaci[oó]n(?:es)?|h)\\s*(?:n[°º]?\\s*|-)?(\\d+(?:\\s*(?:,|y|e)\\s*\\d+)*)', 1)) AS g FROM report_lines),
- n AS (SELECT doc_id, line_no, CAST(unnest(regexp_extract_all(g, '\\d+')) AS BIGINT) AS v FROM m)
- SELECT doc_id, line_no, string_agg(DISTINCT CAST(v AS VARCHAR), ',' ORDER BY v) AS refs FROM n GROUP BY 1, 2""" if False else f"""WITH m AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '(?i)\\b(?:hallazgos?|observaci[oó]n(?:es)?|desviaci[oó]n(?:es)?|h)\\s*(?:n[°º]?\\s*|-)?(\\d+(?:\\s*(?:,|y|e)\\s*\\d+)*)', 1)) AS g FROM report_lines),
- n AS (SELECT doc_id, line_no, list_sort(list_distinct(flatten(list(list_transform(regexp_extract_all(g, '\\d+'), x -> CAST(x AS BIGINT)))))) AS v FROM m GROUP BY 1, 2)
+ n AS (SELECT doc_id, line_no, list_sort(list_distinct(flatten(list(list_transform(regexp_extract_all(g, '\\d+'), lambda x: CAST(x AS BIGINT)))))) AS v FROM m GROUP BY 1, 2)
  SELECT doc_id, line_no, array_to_string(v, ',') AS refs FROM n""")(
     lambda db: db.view("report_lines").select("doc_id", "line_no", F.concat_ws(",", X.finding_references("line").cast("array<string>")).alias("refs")).filter("refs <> ''"))
 query("text_source_keys", "SELECT id, substr(md5('informe_' || CAST(substr(id, 2) AS VARCHAR) || '_' || title), 1, 12) AS key FROM findings")(
@@ -133,7 +131,7 @@ _BLOCKS = f"""WITH RECURSIVE {DOC_LINES},
    FROM walk w JOIN v ON v.doc_id = w.doc_id AND v.k = w.k + 1)
  SELECT doc_id, blk::BIGINT AS number, substr(arg_min(line, k), 1, 90) AS title, string_agg(line, ' ' ORDER BY k) AS text FROM walk GROUP BY doc_id, blk"""
 query("paragraph_blocks", _BLOCKS)(lambda db: corpus.paragraph_blocks(db.base("documents"), max_blocks=None).select("doc_id", "number", "title", "text"))
-query("paragraph_findings_top10", f"SELECT * FROM ({_BLOCKS}) z WHERE number <= 10".replace("SELECT * FROM (WITH RECURSIVE", "WITH RECURSIVE", 1) if False else _BLOCKS.replace("FROM walk GROUP BY", "FROM walk WHERE blk <= 10 GROUP BY"))(
+query("paragraph_findings_top10", _BLOCKS.replace("FROM walk GROUP BY", "FROM walk WHERE blk <= 10 GROUP BY"))(
     lambda db: corpus.paragraph_blocks(db.base("documents")).select("doc_id", "number", "title", "text"))
 query("corpus_findings")(lambda db: corpus.parse_documents(db.view("report_texts"), max_blocks=None).findings)
 query("corpus_proposals")(lambda db: corpus.parse_documents(db.view("report_texts"), max_blocks=None).finding_proposals)

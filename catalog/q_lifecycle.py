@@ -104,6 +104,7 @@ na AS (SELECT id, proposal_id, CASE WHEN plan_id IS NULL THEN pct0 ELSE pct END
 na2 AS (SELECT id, proposal_id, status, progress_pct, notes, changed, CASE WHEN NOT changed THEN closed0 WHEN status = 'Finalizado' THEN '1998-09-02' END AS closed_date FROM na)"""
 _CHT = "SELECT DISTINCT proposal_id AS id FROM na2 WHERE changed"
 _CHO = "SELECT DISTINCT proposal_id FROM na2 WHERE changed AND status <> 'Finalizado'"
+ORACLE_PLAN_CHANGES = f"WITH {_CH} SELECT id, status, progress_pct, closed_date FROM na2"
 query("plan_changes_state", f"WITH {_CH}, np AS ({_cascade_p('na2', _CHT, cleared=_CHO)}), nf AS ({_cascade_f('np', _CHT)}) {_state_sql('nf', 'np', 'na2')}")(
     lambda db: _state(L.apply_plan_changes(db.t, db.view("plan_changes"), db.cut).tables))
 query("plan_changes_notes", f"WITH {_CH} SELECT id, notes FROM na2")(

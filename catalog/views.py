@@ -215,6 +215,44 @@ SELECT doc_id, 'doc-' || CAST(doc_id AS STRING) || '.txt' AS filename,
   ELSE text END AS text
 FROM {documents}"""
 
+VIEWS["merge_fields"] = """
+SELECT id, 'title' AS field, title AS stored,
+       CASE WHEN CAST(substr(code, 8) AS BIGINT) % 3 = 0 THEN title
+            WHEN CAST(substr(code, 8) AS BIGINT) % 3 = 1 THEN 'anterior' ELSE NULL END AS baseline,
+       CASE WHEN CAST(substr(code, 8) AS BIGINT) % 4 = 0 THEN '' WHEN CAST(substr(code, 8) AS BIGINT) % 4 = 1 THEN title
+            ELSE title || ' v2' END AS incoming
+FROM {findings}
+UNION ALL
+SELECT id, 'action_owner', action_owner,
+       CASE WHEN CAST(substr(code, 8) AS BIGINT) % 2 = 0 THEN action_owner ELSE NULL END, 'Resp nuevo'
+FROM {findings}"""
+
+# A re-import of every report: some codes left out, made up or new, some titles changed.
+VIEWS["in_findings"] = """
+SELECT 'b' || substr(report_id, 2) AS batch, n AS row_no,
+       CASE n % 10 WHEN 3 THEN '' WHEN 4 THEN 'H-2026-' || CAST(900000 + n AS STRING) WHEN 5 THEN 'H-IMP-005' ELSE code END AS code,
+       CASE WHEN n % 4 = 1 THEN title || ' v2' ELSE title END AS title,
+       CASE WHEN n % 10 = 4 THEN 'Nueva situación ' || CAST(n AS STRING) ELSE situation END AS situation,
+       severity, responsible_area, action_owner, status, observations
+FROM (SELECT *, CAST(substr(id, 2) AS BIGINT) AS n FROM {findings}) f"""
+VIEWS["in_proposals"] = """
+SELECT 'b' || substr(f.report_id, 2) AS batch, p.n AS row_no, CAST(substr(p.finding_id, 2) AS BIGINT) AS parent_row,
+       CASE WHEN p.n % 12 = 0 AND p.n % 13 <> 0 THEN '' ELSE p.code END AS code, p.title, p.proposal_text, p.responsible_area, p.action_owner,
+       CASE WHEN p.n % 8 = 0 THEN '30/06/2026' ELSE p.target_date END AS target_date, p.status
+FROM (SELECT *, CAST(substr(id, 2) AS BIGINT) AS n FROM {proposals}) p JOIN {findings} f ON p.finding_id = f.id
+WHERE CAST(substr(f.id, 2) AS BIGINT) % 10 <> 4"""
+VIEWS["in_plans"] = """
+SELECT 'b' || substr(f.report_id, 2) AS batch, CAST(substr(a.code, 9) AS BIGINT) AS row_no, CAST(substr(p.id, 2) AS BIGINT) AS parent_row,
+       a.code, a.title, a.action_text, a.action_owner, a.target_date, a.status, CAST(a.progress_pct AS STRING) AS progress_pct, a.notes
+FROM {action_plans} a JOIN {proposals} p ON a.proposal_id = p.id JOIN {findings} f ON p.finding_id = f.id
+WHERE CAST(substr(f.id, 2) AS BIGINT) % 10 <> 4"""
+
+VIEWS["stored_batches"] = """
+SELECT 'i' || CAST(c_custkey AS STRING) AS id, 'r' || CAST(c_nationkey AS STRING) AS report_id, md5('content ' || CAST(c_custkey % 40 AS STRING)) AS content_fingerprint,
+       md5('file ' || CAST(c_custkey % 60 AS STRING)) AS file_hash, c_name AS source_filename, 'new' AS mode, CAST(NULL AS STRING) AS summary,
+       CAST(DATE '1998-01-01' + INTERVAL '1' DAY * (c_custkey % 300) AS DATE) AS created_at
+FROM {customer}"""
+
 ENTITIES = ["reports", "findings", "proposals", "action_plans", "audit_history"]
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SPACES = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
           "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 SPACE_RUN = "[" + SPACES + "]+"
+# What has to be replaced for every run of white space to become one plain space.
+UNTIDY_SPACE = "[" + SPACES + "]{2,}|[" + SPACES[1:] + "]"
 
 
 def col(c) -> Column:
@@ -47,6 +49,11 @@ def contains_any(c, words) -> Column:
     return F.lower(col(c)).rlike("|".join(words))
 
 
+def let(value, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` mentions it."""
+    return F.transform(F.array(col(value)), use)[0]
+
+
 def rate(part, whole, digits: int = 1) -> Column:
     """Percentage rounded half-even; NULL when the whole is zero."""
     return F.bround(100 * (col(part) / F.nullif(col(whole), F.lit(0))), digits)
