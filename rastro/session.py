@@ -29,10 +29,14 @@ def tune(spark: SparkSession) -> SparkSession:
 def durable_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, a laptop) does it fall back to a local one.
+    Only a session that runs in one JVM may go without the setting (tests, a laptop): it gets a folder of
+    its own, once. On a cluster a machine-local folder would be seen by one machine only, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="rastro-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
