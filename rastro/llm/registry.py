@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rastro.llm import bpe, chat, decontaminate, urls
+from rastro.llm import bpe, chat, decontaminate, linededup, quality, urls
 
-_MODULES = (chat, bpe, urls, decontaminate)
+_MODULES = (chat, bpe, linededup, quality, urls, decontaminate)
 
 QUERIES = {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
