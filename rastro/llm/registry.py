@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rastro.llm import bpe, chat, decontaminate, linededup, neardup, quality, urls
+from rastro.llm import bpe, chat, decontaminate, langid, licenses, linededup, neardup, quality, secrets, urls
 
-_MODULES = (chat, bpe, linededup, neardup, quality, urls, decontaminate)
+_MODULES = (secrets, chat, bpe, licenses, linededup, langid, quality, neardup, urls, decontaminate)
 
 QUERIES = {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
