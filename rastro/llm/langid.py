@@ -7,8 +7,9 @@ order. The models stand side by side in sorted arrays of 64-bit gram hashes, for
 probabilities of all languages and the weights of backing off. The language of the lowest cross-entropy per
 letter is chosen.
 
-Rejection is calibrated on labelled documents that the fit has not seen: a text is rejected where its
-entropy is further above its language's mean than documents of its length differ.
+Rejection is calibrated on labelled documents that the fit has not seen, and on the same documents with their
+letters shuffled: a text is rejected where its entropy is nearer to shuffled letters than to its language,
+with an allowance for short texts.
 
 The classifier is fitted on a bounded sample: about ``SAMPLE`` documents of each label for the fit and a
 third of that for the calibration, picked by a hash of the id. That bounds what reaches the driver, and the model
@@ -30,8 +31,8 @@ from rastro.llm.common import ddl_type, free_name, map_rows, read
 ORDER = 4
 SAMPLE = 3000
 UNKNOWN = "und"
-#: Standard deviations above the mean entropy of its language from which on a text is rejected.
-REJECT_AT = 10.0
+#: Standard deviations of a text's length that its entropy may be above the limit.
+ALLOWANCE = 3.0
 #: Labels from which on the training table is refused.
 MOST_LANGUAGES = 2000
 #: Words a task remembers the scores of; when full, it starts anew.
@@ -78,7 +79,7 @@ class Model:
     contexts: list[np.ndarray]
     weights: list[np.ndarray]
     unseen: np.ndarray
-    limits: dict[str, tuple[float, float, float]]
+    limits: dict[str, tuple[float, float]]
 
     def of_grams(self, codes: np.ndarray) -> np.ndarray:
         """Log probability of each gram's last letter in every language."""
@@ -102,8 +103,8 @@ class Model:
         return np.add.reduceat(self.of_grams(codes), np.cumsum(sizes) - sizes, axis=0)
 
     def rejects(self, lang: str, entropy: float, n: int) -> bool:
-        mean, fixed, per_letter = self.limits.get(lang, (np.inf, 0, 0))
-        return entropy > mean + REJECT_AT * (fixed + per_letter / n) ** 0.5
+        limit, per_letter = self.limits.get(lang, (np.inf, 0))
+        return entropy > limit + ALLOWANCE * (per_letter / n) ** 0.5
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,6 +184,18 @@ def _gram_counts(order: int):
     return rows
 
 
+def _shuffled(columns):
+    """The texts' letters in another order, in words of the same lengths."""
+    out = []
+    for text in columns[0]:
+        words = letters(text)
+        mixed = list("".join(words))
+        np.random.default_rng(len(mixed)).shuffle(mixed)
+        at = np.cumsum([0] + [len(w) for w in words])
+        out.append(" ".join("".join(mixed[i:j]) for i, j in zip(at, at[1:])))
+    return [out, columns[1]]
+
+
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", order: int = ORDER, sample: int = SAMPLE) -> Model | None:
     """Fit and calibrate. Rows without text, label or letters teach nothing; None where nothing can be learnt."""
     hashed = F.pmod(F.xxhash64(F.lit("language"), F.col(id_col).cast("string")), F.lit(1_000_000))
@@ -204,16 +217,15 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     if not counted:
         return None
     model = fit(counted, order)
-    found = score(drawn.where("calibrate").select("text", "lang"), model, "lang", "text").where("n_letters > 0").select("lang", "lang_pred", "entropy", "n_letters").toPandas()
+    held = drawn.where("calibrate").select("text", "lang")
+    own = score(held, model, "lang", "text").where("n_letters > 0 and lang = lang_pred").select("lang", "entropy", "n_letters").toPandas()
+    mixed = score(map_rows(held, "text string, lang string", _shuffled), model, "lang", "text").where("n_letters > 0").select("lang", "entropy").toPandas()
     for lang in model.langs:
-        own = found[(found["lang"] == lang) & (found["lang_pred"] == lang)]
-        if len(own) >= 20:
-            entropy, n = own["entropy"].to_numpy(), own["n_letters"].to_numpy(dtype=np.float64)
-            mean = float(np.median(entropy))
-            away = (entropy - mean) ** 2
-            fixed = float(np.median(away[n >= np.median(n)]) * 2.2)  # of a normal law, the median square is 0.45 variances
-            per_letter = float(np.median(np.maximum(away - fixed, 0)[n < np.median(n)] * n[n < np.median(n)]) * 2.2)
-            model.limits[lang] = (mean, max(fixed, 1e-4), max(per_letter, 0.5))
+        real, noise = own[own["lang"] == lang], mixed[mixed["lang"] == lang]["entropy"]
+        if len(real) >= 20 and noise.median() > real["entropy"].median():
+            mean = real["entropy"].median()
+            per_letter = float(((real["entropy"] - mean) ** 2 * real["n_letters"]).median() * 2.2)  # of a normal law, the median square is 0.45 variances
+            model.limits[lang] = (float((mean + noise.median()) / 2), max(1.0, per_letter))
     return model
 
 

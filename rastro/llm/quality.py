@@ -39,7 +39,7 @@ RULES = (
     Rule("word_length", "mean_word_chars", least=2, greatest=14),
     Rule("symbols", "symbols_per_word", greatest=0.3),
     Rule("stop_words", "stop_percent", least=2),
-    Rule("repeated_lines", "dup_line_percent", greatest=30),
+    Rule("repeated_lines", "dup_line_percent", greatest=60),
     Rule("letters", "letter_word_percent", least=60),
     Rule("bullets", "bullet_line_percent", greatest=90),
     Rule("ellipses", "ellipsis_line_percent", greatest=30),
@@ -168,7 +168,7 @@ m AS (SELECT rid, doc_id, len(w) n_words, coalesce(list_sum(list_transform(w, la
   FROM w LEFT JOIN r USING (rid)),
 f AS (SELECT *, array_to_string(list_filter([CASE WHEN n_words < 20 THEN 'too_few_words' END, CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 'repeated_words' END,
   CASE WHEN n_words = 0 OR word_chars / n_words < 2 OR word_chars / n_words > 14 THEN 'word_length' END, CASE WHEN n_words > 0 AND n_symbols / n_words > 0.3 THEN 'symbols' END,
-  CASE WHEN n_words = 0 OR 100.0 * n_stop / n_words < 2 THEN 'stop_words' END, CASE WHEN n_lines > 0 AND 100.0 * n_dup_lines / n_lines > 30 THEN 'repeated_lines' END,
+  CASE WHEN n_words = 0 OR 100.0 * n_stop / n_words < 2 THEN 'stop_words' END, CASE WHEN n_lines > 0 AND 100.0 * n_dup_lines / n_lines > 60 THEN 'repeated_lines' END,
   CASE WHEN n_words = 0 OR 100.0 * n_letter / n_words < 60 THEN 'letters' END, CASE WHEN n_lines > 0 AND 100.0 * n_bullets / n_lines > 90 THEN 'bullets' END,
   CASE WHEN n_lines > 0 AND 100.0 * n_ellipses / n_lines > 30 THEN 'ellipses' END, CASE WHEN n_words > 0 AND 100.0 * n_capital / n_words > 60 THEN 'capitals' END], lambda x: x IS NOT NULL), ',') failed_rules FROM m)
 SELECT doc_id, n_words, CAST(word_chars AS BIGINT) word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words base_failed, failed_rules = '' kept, failed_rules FROM f
