@@ -4,12 +4,13 @@
   digest) are one node, the smallest of their ids; copies are never paired.
 * ``HASHES`` hash functions give a node's signature, ``BANDS`` bands of it the buckets it lies in. Two sets
   of similarity 0.8 miss each other in all bands with a probability of (1 - 0.8^6)^60 = 1e-8.
-* In each bucket every node is compared with one hub. The signatures are compared first: an estimate more than
-  six standard deviations below the threshold decides; the rest are confirmed on the full sets. Further rounds
-  take other hubs, but only in buckets that still hold several components. What is then left, nodes of one
-  bucket in different components that have not been compared, is compared in pairs, except where their
-  distances to the bucket's first hub differ by more than a link allows (the triangle inequality). So no
-  link is lost, and a group of near copies costs a few comparisons a member.
+* In each bucket every node is compared with one hub, then, in buckets that still hold several components,
+  with another. Signatures are compared first, by three bits of every value: an estimate more than six
+  standard deviations below the threshold decides; the rest are confirmed on the full sets.
+* What is left are nodes of one bucket in different components. They meet in a join whose condition compares
+  signatures and then 32-bit forms of the sets, which cannot hide a link, so that only pairs that are all but
+  links leave it; these are confirmed on the full sets. So no link is lost, and a group of near copies
+  costs a few comparisons a member.
 * Links become components by alternating large-star and small-star.
 """
 
@@ -29,9 +30,10 @@ from rastro.session import settle
 
 ROWS, BANDS = 6, 60
 HASHES = ROWS * BANDS
-#: Six standard deviations of an estimated similarity, at the threshold of 0.8 and at worst.
-SIGMAS_AT_THRESHOLD, SIGMAS_AT_WORST = 6 * (0.16 / HASHES) ** 0.5, 6 * 0.5 / HASHES**0.5
-HUB_ROUNDS = 3
+#: Bits of every value that are compared; values that differ agree in them by chance, once in 2^BITS.
+BITS = 3
+_WORDS = -(-HASHES // 64)
+HUB_ROUNDS = 2
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _RANDOM = np.random.default_rng(20240607)
@@ -61,7 +63,7 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """The least value of every hash function over a set that is not empty."""
+    """The least value of every hash function over a set; of an empty one the greatest number there is."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     least = np.full(HASHES, 2**32 - 1, dtype=np.uint32)
     for start in range(0, len(x), 512):
@@ -71,6 +73,14 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
+def planes(least: np.ndarray) -> np.ndarray:
+    """``BITS`` well mixed bits of every value, packed bit by bit: ``_WORDS`` words of the first bits, then of the second ..."""
+    mixed = (least * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+    bits = np.zeros((BITS, _WORDS * 64), dtype=np.uint8)
+    bits[:, :HASHES] = (mixed >> np.arange(BITS, dtype=np.uint32)[:, None]) & np.uint32(1)
+    return np.packbits(bits, axis=1).view(np.int64).ravel()
+
+
 def bands(least: np.ndarray) -> np.ndarray:
     """One 64-bit bucket number a band."""
     return _mixed((least.reshape(BANDS, ROWS).astype(np.uint64) * _WEIGHTS).sum(axis=1, dtype=np.uint64) + _BAND_SALT).view(np.int64)
@@ -93,30 +103,39 @@ def _sketches(k: int):
 def _full(k: int):
     def rows(columns):
         sets = [shingle_set(t, k) for t in columns[1]]
-        return [columns[0], _lists([signature(s) if len(s) else np.empty(0, np.uint32) for s in sets], np.int32), _lists(sets, np.int64)]
+        least = [signature(s) for s in sets]
+        return [columns[0], _lists([planes(x) for x in least], np.int64), _lists([bands(x) for x in least], np.int64), _lists(sets, np.int64),
+                _lists([s.astype(np.uint32) for s in sets], np.int32)]
 
     return rows
 
 
+def _alike(x: str, y: str, percent: int) -> Column:
+    """Whether two packed signatures leave a link possible: their estimate is not six standard deviations below the threshold."""
+    def other(word: int) -> Column:
+        bits = [F.col(x)[plane * _WORDS + word].bitwiseXOR(F.col(y)[plane * _WORDS + word]) for plane in range(BITS)]
+        while len(bits) > 1:
+            bits = [bits[0].bitwiseOR(bits[1]), *bits[2:]]
+        return F.bit_count(bits[0])
+
+    chance = 0.5**BITS
+    agree = percent / 100 * (1 - chance) + chance
+    least = agree - 6 * (agree * (1 - agree) / HASHES) ** 0.5
+    return sum((other(w) for w in range(1, _WORDS)), other(0)) <= int(HASHES * (1 - least))
+
+
+def _linked(common: Column, a: str, b: str, percent: int) -> Column:
+    return F.lit(100) * common >= F.lit(percent) * (F.size(a) + F.size(b) - common)
+
+
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, low, high, linked): bounds of each pair's distance, and whether it is a link. ``pairs`` are distinct, a < b."""
-    threshold = percent / 100
+    """The links (a, b) among distinct pairs."""
     # Spark splits skewed sides of these joins: sets are one row a node, pairs of one hub may be many.
-    signed = sets.select("node", "signature")
-    met = (pairs.join(signed.toDF("a", "sig_a"), "a").join(signed.toDF("b", "sig_b"), "b")
-           .select("a", "b", (F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) / HASHES).alias("alike")))
-    met = settle(met.groupBy("a", "b").agg(F.max("alike").alias("alike")), "compared")  # one row a pair also where an id stands for two texts
-    near = met.where(F.col("alike") >= threshold - SIGMAS_AT_THRESHOLD)
+    signed = sets.select("node", "planes")
+    near = (pairs.join(signed.toDF("a", "sig_a"), "a").join(signed.toDF("b", "sig_b"), "b").where(_alike("sig_a", "sig_b", percent)).select("a", "b"))
     shingles = sets.select("node", "shingles")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    exact = (near.select("a", "b").join(shingles.toDF("a", "set_a"), "a").join(shingles.toDF("b", "set_b"), "b")
-             .select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b")).alias("total"))
-             .groupBy("a", "b").agg(F.max(F.col("common") / (F.col("total") - F.col("common"))).alias("similarity"),
-                                    F.max(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("total") - F.col("common"))).alias("linked"))
-             .select("a", "b", (1 - F.col("similarity")).alias("low"), (1 - F.col("similarity")).alias("high"), "linked"))
-    far = met.where(F.col("alike") < threshold - SIGMAS_AT_THRESHOLD).select(
-        "a", "b", (1 - F.col("alike") - SIGMAS_AT_WORST).alias("low"), (1 - F.col("alike") + SIGMAS_AT_WORST).alias("high"), F.lit(False).alias("linked"))
-    return settle(exact.unionByName(far), "distances")
+    met = settle(near, "near").join(shingles.toDF("a", "set_a"), "a").join(shingles.toDF("b", "set_b"), "b")
+    return settle(met.where(_linked(F.size(F.array_intersect("set_a", "set_b")), "set_a", "set_b", percent)).select("a", "b").distinct(), "links")
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
@@ -127,42 +146,54 @@ def _with_component(members: DataFrame, comps: DataFrame) -> DataFrame:
     return members.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, k: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, buckets: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, component) of all nodes that are linked to a smaller one."""
     hubs = settle(buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where(F.col("hub") < F.col("top")).select("bucket", "hub"), "hubs")
     shared = settle(buckets.join(hubs, "bucket"), "shared")  # members of buckets with two nodes or more
     wanted = shared.select("node").distinct()
     texts = docs.join(wanted.withColumnRenamed("node", "id"), "id", "left_semi")
-    sets = settle(map_rows(texts, "node bigint, signature array<int>, shingles array<bigint>", _full(k)), "sets")
-    tested = _compare(shared.where(F.col("node") > F.col("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, percent)
-    # Each member's distance to its bucket's first hub, for the pruning at the end; the hub's own is nothing.
-    placed = settle(shared.join(tested.select(F.col("a").alias("hub"), F.col("b").alias("node"), "low", "high"), ["hub", "node"], "left")
-                    .select("bucket", "node", F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(0.0)).alias("high")), "placed")
-    comps = components(tested.where("linked").select("a", "b"))
-    for turn in range(1, HUB_ROUNDS + 1):
-        mixed = _mixed_buckets(placed, comps)
-        last = turn == HUB_ROUNDS
-        if last:
-            x, y = mixed.alias("x"), mixed.alias("y")
-            pairs = (x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-                            & (F.greatest(F.col("x.low") - F.col("y.high"), F.col("y.low") - F.col("x.high")) <= 1 - percent / 100 + 1e-9))
-                     .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-        else:
-            other = mixed.groupBy("bucket").agg(F.min_by(F.struct("node", "component"), F.xxhash64(F.lit(turn), "node")).alias("other"))
-            pairs = (mixed.join(settle(other, "hubs"), "bucket").where(F.col("component") != F.col("other.component"))
-                     .select(*_ordered(F.col("node"), F.col("other.node"))))
-        new = _compare(settle(pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs"), sets, percent)
-        tested = tested.unionByName(new)
-        if new.where("linked").limit(1).count():
-            comps = components(comps.toDF("a", "b").unionByName(new.where("linked").select("a", "b")))
-    return comps
-
-
-def _mixed_buckets(placed: DataFrame, comps: DataFrame) -> DataFrame:
-    """The members, with their components, of buckets that hold several components."""
-    members = settle(_with_component(placed, comps), "members")
-    several = members.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where(F.col("least") < F.col("most")).select("bucket")
-    return settle(members.join(settle(several, "several"), "bucket", "left_semi"), "mixed")
+    sets = settle(map_rows(texts, "node bigint, planes array<bigint>, buckets array<bigint>, shingles array<bigint>, short array<int>", _full(k)), "sets")
+    links = _compare(shared.where(F.col("node") > F.col("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, percent)
+    comps = components(links)
+    for turn in range(1, HUB_ROUNDS):
+        mixed = _mixed_buckets(shared.select("bucket", "node"), comps)
+        other = mixed.groupBy("bucket").agg(F.min_by(F.struct("node", "component"), F.xxhash64(F.lit(turn), "node")).alias("other"))
+        pairs = (mixed.join(settle(other, "hubs"), "bucket").where(F.col("component") != F.col("other.component"))
+                 .select(*_ordered(F.col("node"), F.col("other.node"))).distinct())
+        comps = _joined(comps, _compare(pairs, sets, percent))
+    mixed = _mixed_buckets(shared.select("bucket", "node"), comps)
+    return _joined(comps, _compare(_left_over(mixed, sets, percent), sets, percent))
+
+
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    return components(comps.toDF("a", "b").unionByName(links)) if links.limit(1).count() else comps
+
+
+def _mixed_buckets(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(bucket, node, component, main) of buckets with several components and three nodes or more; two have met at their hub.
+
+    ``main`` marks the nodes of a bucket's largest component.
+    """
+    held = settle(_with_component(members, comps), "members")
+    counted = held.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    several = (counted.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("components"), F.sum("n").alias("nodes"))
+               .where((F.col("components") > 1) & (F.col("nodes") > 2)).select("bucket", F.col("largest.component").alias("largest")))
+    return settle(held.join(settle(several, "several"), "bucket").select("bucket", "node", "component", (F.col("component") == F.col("largest")).alias("main")), "mixed")
+
+
+def _left_over(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one bucket and two components that may be links: those outside the largest component with all others."""
+    # Bits and short sets come along, so that the join's own condition turns pairs away. Equal 32-bit forms of
+    # different shingles only add to what two sets seem to share, but for forms that a set holds twice: they count as shared.
+    # A pair is looked at in the first bucket that both are in: two that met in an earlier one are turned away.
+    dressed = settle(mixed.join(sets.select("node", "planes", "short", "buckets", (F.size("short") - F.size(F.array_distinct("short"))).alias("twice")), "node")
+                     .withColumn("earlier", F.slice("buckets", F.lit(1), (F.array_position("buckets", F.col("bucket")) - 1).cast("int"))).drop("buckets"), "dressed")
+    x, y = (dressed.select(*[F.col(c).alias(f"{side}_{c}") for c in dressed.columns]) for side in "xy")
+    common = F.size(F.array_intersect("x_short", "y_short")) + F.least("x_twice", "y_twice")
+    met = x.where(~F.col("x_main")).join(
+        y, (F.col("x_bucket") == F.col("y_bucket")) & (F.col("x_component") != F.col("y_component")) & (F.col("y_main") | (F.col("x_node") < F.col("y_node")))
+        & _alike("x_planes", "y_planes", percent) & ~F.arrays_overlap("x_earlier", "y_earlier") & _linked(common, "x_short", "y_short", percent))
+    return met.select(*_ordered(F.col("x_node"), F.col("y_node"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -179,7 +210,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = settle(known.groupBy("digest").agg(F.min("id").alias("node")), "nodes")
     buckets = (known.join(nodes, "digest").where(F.col("id") == F.col("node"))
                .select("node", F.explode("buckets").alias("bucket")))
-    comps = _links(plain, nodes, buckets, shingle_words, percent)
+    comps = _links(plain, buckets, shingle_words, percent)
     group = settle(_with_component(nodes, comps).select("digest", "component"), "groups")
     out = sketch.select("id", "n_shingles", "digest").join(group, "digest", "left")
     # One id with several texts: the smallest component of its rows holds for all of them.
