@@ -130,18 +130,16 @@ _BLOCKS = f"""WITH RECURSIVE {DOC_LINES},
    UNION ALL SELECT v.doc_id, v.k, v.line, CASE WHEN w.size >= 300 THEN w.blk + 1 ELSE w.blk END, CASE WHEN w.size >= 300 THEN length(v.line) ELSE w.size + length(v.line) END
    FROM walk w JOIN v ON v.doc_id = w.doc_id AND v.k = w.k + 1)
  SELECT doc_id, blk::BIGINT AS number, substr(arg_min(line, k), 1, 90) AS title, string_agg(line, ' ' ORDER BY k) AS text FROM walk GROUP BY doc_id, blk"""
-query("paragraph_blocks", _BLOCKS)(lambda db: corpus.paragraph_blocks(db.base("documents"), max_blocks=None).select("doc_id", "number", "title", "text"))
-query("paragraph_findings_top10", _BLOCKS.replace("FROM walk GROUP BY", "FROM walk WHERE blk <= 10 GROUP BY"))(
-    lambda db: corpus.paragraph_blocks(db.base("documents")).select("doc_id", "number", "title", "text"))
-query("corpus_findings")(lambda db: corpus.parse_documents(db.view("report_texts"), max_blocks=None).findings)
-query("corpus_proposals")(lambda db: corpus.parse_documents(db.view("report_texts"), max_blocks=None).finding_proposals)
+query("paragraph_blocks", _BLOCKS)(lambda db: corpus.paragraph_blocks(db.base("documents")).select("doc_id", "number", "title", "text"))
+query("corpus_findings")(lambda db: corpus.parse_documents(db.view("report_texts")).findings)
+query("corpus_proposals")(lambda db: corpus.parse_documents(db.view("report_texts")).finding_proposals)
 query("corpus_routes", f"""WITH c AS (SELECT CASE WHEN doc_id % 4 = 1 THEN 'heading' WHEN doc_id % 4 = 2 THEN 'table' ELSE 'paragraph' END AS route, doc_id FROM documents)
   SELECT route, count(DISTINCT doc_id) AS documents FROM c GROUP BY route""")(
-    lambda db: corpus.parse_documents(db.view("report_texts"), max_blocks=None).findings.groupBy(
+    lambda db: corpus.parse_documents(db.view("report_texts")).findings.groupBy(
         F.when(F.col("situation_source").startswith("Fallback heur"), "paragraph").when(F.col("situation_source") == "Fallback (summary)", F.when(
             F.col("doc_id") % 4 == 2, "table").otherwise("heading")).otherwise("heading").alias("route")).agg(F.count_distinct("doc_id").alias("documents")))
 query("corpus_reports", """SELECT doc_id, 'doc-' || doc_id || '.txt' AS source_filename, CASE WHEN doc_id % 4 = 1 THEN 'Sector ' || doc_id % 7 WHEN doc_id % 4 = 2 THEN 'Tesorería' ELSE 'Operaciones' END AS area
-  FROM documents""")(lambda db: corpus.parse_documents(db.view("report_texts"), max_blocks=None).reports.select("doc_id", "source_filename", "area"))
+  FROM documents""")(lambda db: corpus.parse_documents(db.view("report_texts")).reports.select("doc_id", "source_filename", "area"))
 
 # --- Scalar functions over the tables ------------------------------------------------------------------
 

@@ -1,8 +1,10 @@
 """Ordered and grouped work that stays spread out when one key holds a large share of the rows.
 
-A plain ``Window.partitionBy(key)`` sends all rows of a key to one task. Here the rows of a key are
-cut into blocks of a fixed span of the (integer) order column; each block is one window partition,
-the per-block totals are combined by a second, small window, and the combined value is added back.
+A plain ``Window.partitionBy(key)`` sends all rows of a key to one task. Here rows are dealt by ranges of
+(key, order), so that a key of any size lies in as many neighbouring partitions as its number of rows
+asks for, whatever the gaps in the order column. Each partition's stretch of a key is one window partition;
+the stretches' totals, at most one per key and partition, are combined by a second, small window, and the
+combined value is added back.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rastro.session import settle
+
 DEFAULT_SPAN = 100_000
 _BLOCK = "__block"
 
@@ -39,15 +43,19 @@ def running(df: DataFrame, keys: list[str], order: str, specs: dict[str, tuple[s
 
     ``specs`` maps an output column to (kind, expression); kinds are ``sum``, ``max``, ``min`` and
     ``last`` (the last value that is not NULL), up to and including the row, or, with a trailing
-    ``<``, up to the row before it. ``order`` is an integer column, unique within the keys; ``span``
-    is the width of a block in its units. ``span=None`` says that the rows of a key are known to fit
-    one task (they came out of one input row) and uses one plain window.
+    ``<``, up to the row before it. ``order`` is an integer column, unique within the keys. ``span=None``
+    says that the rows of a key are known to fit one task (they came out of one input row) and uses one
+    plain window; with any number the rows are dealt by ranges. Without keys there is one running
+    value over all rows, and the offsets of the partitions, one row each, pass through the driver.
     """
     kinds = {n: k.rstrip("<") for n, (k, _) in specs.items()}
     ends = {n: -1 if k.endswith("<") else 0 for n, (k, _) in specs.items()}
     parts = keys if span is None else [*keys, _BLOCK]
     hidden = {f"__v_{n}": e for n, (_, e) in specs.items()}
-    base = df.withColumns(hidden if span is None else {_BLOCK: F.floor(F.col(order) / span), **hidden})
+    base = df.withColumns(hidden)
+    if span is not None:
+        # Written once: the rows and their totals must see the same ranges.
+        base = settle(base.repartitionByRange(*keys, order).withColumn(_BLOCK, F.spark_partition_id()), "ranges")
     w = Window.partitionBy(*parts).orderBy(order)
     local = base.withColumns({n: _local(kinds[n], F.col(f"__v_{n}"), w.rowsBetween(Window.unboundedPreceding, ends[n])) for n in specs})
     if span is None:
@@ -55,8 +63,11 @@ def running(df: DataFrame, keys: list[str], order: str, specs: dict[str, tuple[s
         return local.withColumns(zero).select(*df.columns, *specs)
 
     totals = base.groupBy(*parts).agg(*[_total(kinds[n], F.col(f"__v_{n}"), F.col(order)).alias(f"__t_{n}") for n in specs])
-    before = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*parts, *[_local(kinds[n], F.col(f"__t_{n}"), before).alias(f"__c_{n}") for n in specs])
+    if keys:
+        before = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+        carried = totals.select(*parts, *[_local(kinds[n], F.col(f"__t_{n}"), before).alias(f"__c_{n}") for n in specs])
+    else:
+        carried = _carried_over_all(totals, specs, kinds)
     # A first block carries nothing in, so the table joined back holds only keys that span blocks.
     carried = carried.filter(reduce(lambda a, b: a | b, [F.col(f"__c_{n}").isNotNull() for n in specs]))
     out = local.join(carried, parts, "left")
@@ -64,26 +75,26 @@ def running(df: DataFrame, keys: list[str], order: str, specs: dict[str, tuple[s
     return out.select(*df.columns, *specs)
 
 
+def _carried_over_all(totals: DataFrame, specs: dict, kinds: dict[str, str]) -> DataFrame:
+    """What the partitions before each one carry into it. There is one row per partition of the range shuffle."""
+    fold = {"sum": lambda a, b: (a or 0) + (b or 0), "max": lambda a, b: b if a is None else a if b is None else max(a, b),
+            "min": lambda a, b: b if a is None else a if b is None else min(a, b), "last": lambda a, b: a if b is None else b}
+    rows, held = [], {n: None for n in specs}
+    for r in sorted(totals.collect(), key=lambda r: r[_BLOCK]):
+        rows.append((r[_BLOCK], *[held[n] for n in specs]))
+        held = {n: fold[kinds[n]](held[n], r[f"__t_{n}"]) for n in specs}
+    types = ", ".join(f"__c_{n} {totals.schema[f'__t_{n}'].dataType.simpleString()}" for n in specs)
+    return totals.sparkSession.createDataFrame(rows, f"{_BLOCK} int, {types}")
+
+
 def numbered(df: DataFrame, keys: list[str], order: str, out: str, span: int = DEFAULT_SPAN) -> DataFrame:
     """Number the rows of each key 1..n by an integer order column."""
     return running(df, keys, order, {out: ("sum", F.lit(1).cast("bigint"))}, span)
 
 
-def numbered_any(df: DataFrame, keys: list[str], row_id: str, out: str, slots: int = 64) -> DataFrame:
-    """Number the rows of each key 1..n in a repeatable but arbitrary order.
-
-    Rows are placed in hash slots of their unique ``row_id``, so a key of any size is numbered by up
-    to ``slots`` tasks, and the window over slot totals sees at most ``slots`` rows per key.
-    """
-    slot = "__slot"
-    base = df.withColumn(slot, F.pmod(F.xxhash64(row_id), F.lit(slots)))
-    local = base.withColumn(out, F.row_number().over(Window.partitionBy(*keys, slot).orderBy(row_id)))
-    totals = base.groupBy(*keys, slot).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*keys).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, slot, F.sum("__n").over(w).alias("__off")).filter("__off is not null")
-    return (local.join(offsets, [*keys, slot], "left")
-            .withColumn(out, F.coalesce(F.col("__off"), F.lit(0)) + F.col(out))
-            .select(*df.columns, out))
+def numbered_any(df: DataFrame, keys: list[str], row_id: str, out: str) -> DataFrame:
+    """Number the rows of each key 1..n in the order of their unique ``row_id``, of any type."""
+    return running(df, keys, row_id, {out: ("sum", F.lit(1).cast("bigint"))})
 
 
 def first_by(df: DataFrame, keys: list[str], order, value: Column | None = None) -> DataFrame:

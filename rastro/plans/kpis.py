@@ -69,9 +69,9 @@ def dashboard_scalars(t: Tables, cut: Column) -> DataFrame:
 
 
 def _side_by_side(*frames: DataFrame) -> DataFrame:
-    """Join one-row frames on a constant key."""
-    keyed = [df.withColumn("__one", F.lit(1)) for df in frames]
-    return reduce(lambda a, b: a.join(b, "__one"), keyed).drop("__one")
+    """One row of the columns of one-row frames: stacked, then taken together by one aggregate, without a join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
 def severity_breakdown(t: Tables) -> DataFrame:

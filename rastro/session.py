@@ -53,15 +53,6 @@ def settle(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give heavy per-row work enough tasks where the scan has fewer partitions than the session has cores.
-
-    A large table has many splits and is left as it is, so no shuffle is added there.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def today() -> Column:
     """Default cut date: the calendar day in Buenos Aires."""
     return F.to_date(F.from_utc_timestamp(F.current_timestamp(), "America/Buenos_Aires"))

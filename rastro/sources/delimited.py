@@ -28,19 +28,14 @@ def decode_text(content) -> Column:
     return F.regexp_replace(text, f"^{BOM}", "")
 
 
-def text_documents(files: DataFrame, max_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Files (path, content) to documents (doc_id, filename, text), and the rejected empty ones.
-
-    ``max_chars`` cuts texts; by default they are taken whole.
-    """
-    return accept_texts(files.select(F.col("path").alias("doc_id"), F.regexp_extract("path", r"([^/]*)$", 1).alias("filename"), decode_text("content").alias("text")), max_chars)
+def text_documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files (path, content) to documents (doc_id, filename, text), and the rejected empty ones."""
+    return accept_texts(files.select(F.col("path").alias("doc_id"), F.regexp_extract("path", r"([^/]*)$", 1).alias("filename"), decode_text("content").alias("text")))
 
 
-def accept_texts(documents: DataFrame, max_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
+def accept_texts(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     usable = F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
     good = documents.filter(usable)
-    if max_chars is not None:
-        good = good.withColumn("text", F.substring("text", 1, max_chars))
     bad = documents.filter(~usable).drop("text").withColumn("reason", F.lit("El archivo no contiene texto interpretable o está vacío."))
     return good, bad
 
@@ -49,10 +44,18 @@ def _count(text: Column, ch: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))
 
 
+# A quoted stretch: its quotes are doubled inside. All repetitions are possessive, so a cell of any length needs no stack.
+_QUOTED = '"[^"]*+(?:""[^"]*+)*+"'
+
+
+def _unquoted(text) -> Column:
+    """The text without its quoted stretches."""
+    return F.regexp_replace(F.col(text) if isinstance(text, str) else text, _QUOTED, "")
+
+
 def sheet_delimiter(text) -> Column:
-    """A semicolon when the first five lines hold more of them than commas."""
-    head = F.array_join(F.slice(F.split(F.col(text), LINE_BREAK), 1, 5), "\n")
-    return let(head, lambda h: F.when(_count(h, ";") > _count(h, ","), ";").otherwise(","))
+    """A semicolon when the file holds more of them than commas, quoted cells aside."""
+    return let(_unquoted(text), lambda t: F.when(_count(t, ";") > _count(t, ","), ";").otherwise(","))
 
 
 # Delimiters a raw-text file may use, in order of preference.
@@ -60,36 +63,70 @@ RAW_DELIMITERS = [",", "\t", ";", "|"]
 
 
 def raw_delimiter(text) -> Column:
-    """The delimiter that stands equally often (at least once) in the lines of the first 4096 characters.
+    """The delimiter that stands equally often (at least once) in all lines of the file, quoted cells aside.
 
     Without one, a semicolon if there is any, else a comma.
     """
-    sample = F.substring(F.col(text), 1, 4096)
-    lines = F.filter(F.split(sample, LINE_BREAK), lambda s: s != "")
-    # The last line may be cut by the sample.
-    whole = F.when(F.length(text) > 4096, F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(1)))).otherwise(lines)
-    steady = lambda d: let(F.array_distinct(F.transform(whole, lambda s: _count(s, d))), lambda n: (F.size(n) == 1) & (n[0] > 0))
-    out = F.when(steady(RAW_DELIMITERS[0]), RAW_DELIMITERS[0])
-    for d in RAW_DELIMITERS[1:]:
-        out = out.when(steady(d), d)
-    return out.when(sample.contains(";"), ";").otherwise(",")
-
-
-def split_cells(line: Column, delimiter: Column) -> Column:
-    """Cells of a line; a quoted cell may hold the delimiter, and doubled quotes stand for one."""
-    def cells(d: str) -> Column:
-        mark = "\\" + d if d == "|" else d
-        raw = F.regexp_extract_all(F.concat(line, F.lit(d)), F.lit(rf'("(?:[^"]|"")*"|[^{mark}]*){mark}'), F.lit(1))
-        return F.transform(raw, lambda x: F.when(x.startswith('"'), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+    def choose(bare: Column) -> Column:
+        lines = F.filter(F.split(bare, LINE_BREAK), lambda s: s != "")
+        steady = lambda d: let(F.array_distinct(F.transform(lines, lambda s: _count(s, d))), lambda n: (F.size(n) == 1) & (F.get(n, F.lit(0)) > 0))
+        out = F.when(steady(RAW_DELIMITERS[0]), RAW_DELIMITERS[0])
+        for d in RAW_DELIMITERS[1:]:
+            out = out.when(steady(d), d)
+        return out.when(bare.contains(";"), ";").otherwise(",")
+
+    return let(_unquoted(text), choose)
+
+
+_BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+
+
+def _cell(d: str) -> str:
+    """A cell as a pattern that never gives back what it took: quoted with what trails it, or plain up to the delimiter or line end.
+
+    A quote that is never closed does not open a quoted cell.
+    """
+    mark = "\\" + d if d == "|" else d
+    return f'(?>{_QUOTED}[^{mark}{_BREAKS}]*+|[^{mark}{_BREAKS}]*+)'
+
+
+def _by_delimiter(delimiter: Column, use) -> Column:
     out = None
     for d in RAW_DELIMITERS:
-        out = F.when(delimiter == d, cells(d)) if out is None else out.when(delimiter == d, cells(d))
+        out = F.when(delimiter == d, use(d)) if out is None else out.when(delimiter == d, use(d))
     return out
 
 
+def split_records(text: Column, delimiter: Column) -> Column:
+    """Records of a file: lines, but for line breaks inside quoted cells."""
+    def records(d: str) -> Column:
+        mark = "\\" + d if d == "|" else d
+        pattern = f"(?:{_cell(d)}{mark})*+{_cell(d)}(?:\r\n|[{_BREAKS}])"
+        found = F.regexp_extract_all(F.concat(text, F.lit("\n")), F.lit(pattern), F.lit(0))
+        return F.transform(found, lambda r: F.substring(r, F.lit(1), F.length(r) - F.when(r.endswith("\r\n"), 2).otherwise(1)))
+
+    return _by_delimiter(delimiter, records)
+
+
+def split_cells(record: Column, delimiter: Column) -> Column:
+    """Cells of a record; a quoted cell may hold delimiters and line breaks, and doubled quotes stand for one.
+
+    What follows a closing quote stays behind the cell's text; without a closing quote the cell stays as it is.
+    """
+    def cells(d: str) -> Column:
+        mark = "\\" + d if d == "|" else d
+        raw = F.regexp_extract_all(F.concat(record, F.lit(d)), F.lit(f"({_cell(d)}){mark}"), F.lit(1))
+        whole = f'(?s)^({_QUOTED})(.*)$'
+        return F.transform(raw, lambda x: let(F.regexp_extract(x, whole, 1), lambda q: F.when(q == "", x).otherwise(
+            F.concat(F.replace(F.substring(q, F.lit(2), F.length(q) - 2), F.lit('""'), F.lit('"')), F.regexp_extract(x, whole, 2)))))
+
+    return _by_delimiter(delimiter, cells)
+
+
 def _rows(texts: DataFrame, key: str, delimiter: Column) -> DataFrame:
-    lines = texts.withColumn("delimiter", delimiter).select(key, "delimiter", F.posexplode(F.split("text", LINE_BREAK)).alias("row_no", "line"))
-    return lines.filter("line <> ''").select(key, "row_no", split_cells(F.col("line"), F.col("delimiter")).alias("cells"))
+    chosen = texts.withColumn("delimiter", delimiter)
+    records = chosen.select(key, "delimiter", F.posexplode(split_records(F.col("text"), F.col("delimiter"))).alias("row_no", "record"))
+    return records.filter("record <> ''").select(key, "row_no", split_cells(F.col("record"), F.col("delimiter")).alias("cells"))
 
 
 def sheet_cells(texts: DataFrame, key: str = "file") -> DataFrame:

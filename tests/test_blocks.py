@@ -27,6 +27,6 @@ def test_running_matches_a_loop(spark):
 
 def test_numbered_any_is_dense(spark):
     data, df = _rows(spark)
-    got = blocks.numbered_any(df.withColumn("id", F.col("i").cast("string")), ["k"], "id", "n", slots=8).groupBy("k").agg(
+    got = blocks.numbered_any(df.withColumn("id", F.col("i").cast("string")), ["k"], "id", "n").groupBy("k").agg(
         F.count("*").alias("c"), F.count_distinct("n").alias("d"), F.min("n").alias("lo"), F.max("n").alias("hi")).collect()
     assert all(r["c"] == r["d"] == r["hi"] and r["lo"] == 1 for r in got)
