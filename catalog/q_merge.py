@@ -123,15 +123,24 @@ def _conflicts(db):
 
 _SAME = f"""fm AS (SELECT i.row_no, f.id, coalesce(f.action_owner, '') = '' OR coalesce(f.responsible_area, '') = '' OR (i.row_no % 4 = 1 AND i.row_no % 3 = 0) AS changed
    FROM in_findings i JOIN findings f ON CAST(substr(f.id, 2) AS BIGINT) = i.row_no WHERE i.row_no % 10 <> 4)"""
-query("import_finding_outcomes", f"""WITH {_SAME} SELECT 'finding' AS entity, CASE WHEN changed THEN 'updated' ELSE 'unchanged' END AS outcome, count(*) AS total FROM fm GROUP BY 1, 2
+query("import_finding_outcomes", f"""WITH {_SAME}, seen AS (SELECT 'finding' AS entity, CASE WHEN changed THEN 'updated' ELSE 'unchanged' END AS outcome, count(*) AS total FROM fm GROUP BY 1, 2
   UNION ALL SELECT 'finding', 'created', count(*) FROM in_findings WHERE row_no % 10 = 4
   UNION ALL SELECT 'proposal', CASE WHEN changed THEN 'updated' ELSE 'unchanged' END, count(*) FROM (SELECT (p.action_owner = '' OR p.responsible_area = '' OR coalesce(p.proposal_text, '') = ''
-     OR (coalesce(p.target_date, '') = '' AND i.row_no % 8 = 0)) AS changed FROM in_proposals i JOIN proposals p ON CAST(substr(p.id, 2) AS BIGINT) = i.row_no) z GROUP BY 1, 2""")(
+     OR (coalesce(p.target_date, '') = '' AND i.row_no % 8 = 0)) AS changed FROM in_proposals i JOIN proposals p ON CAST(substr(p.id, 2) AS BIGINT) = i.row_no) z GROUP BY 1, 2)
+ SELECT e AS entity, o AS outcome, coalesce(max(total), 0)::BIGINT AS total FROM (SELECT unnest(['finding', 'proposal']) AS e), (SELECT unnest(['created', 'updated', 'unchanged', 'rejected']) AS o)
+ LEFT JOIN seen ON entity = e AND outcome = o GROUP BY 1, 2""")(
     lambda db: _imported(db).counts.filter("entity <> 'action_plan'").groupBy("entity", "outcome").agg(F.sum("total").alias("total")))
 
 
+_IMPORTS: dict = {}
+
+
 def _imported(db, mode="merge"):
-    return M.import_payload(_with_baseline(db), _payload(db), db.cut, YEAR, mode=mode, span=20_000)
+    """The import of the whole payload; several queries look at different parts of one."""
+    known = _IMPORTS.get((id(db), mode))
+    if known is None or known[0] is not db:
+        known = _IMPORTS[id(db), mode] = (db, M.import_payload(_with_baseline(db), _payload(db), db.cut, YEAR, mode=mode, span=20_000))
+    return known[1]
 
 
 query("import_merged_findings", f"""SELECT f.id, CASE WHEN n % 4 = 1 AND n % 3 = 0 AND n % 10 <> 4 THEN title || ' v2' ELSE title END AS title,

@@ -92,6 +92,19 @@ PROPOSAL_FIELDS = ["title", "proposal_text", "responsible_area", "action_owner",
 PLAN_FIELDS = ["title", "action_text", "action_owner", "target_date", "status", "progress_pct", "notes"]
 
 
+# --- Fixed values: names of fields and messages of imports in the history.
+FIELD_LABELS = {
+    "title": "título", "situation": "situación", "severity": "riesgo", "responsible_area": "área", "action_owner": "responsable", "status": "estado",
+    "observations": "observaciones", "proposal_text": "texto", "target_date": "fecha compromiso", "action_text": "acción", "progress_pct": "avance", "notes": "notas/evidencia",
+}
+FIRST_LOAD = "Carga inicial de informe {title} ({source_filename})"
+NEW_FINDING = "Creación de hallazgo {code}: {title}"
+NEW_PROPOSAL = "Creación de propuesta {code} vinculada a {parent_code}"
+NEW_PLAN = "Creación de plan de acción {code} vinculado a propuesta {parent_code}"
+UPDATED_ROW = "Reimportación ({mode}): actualizó {fields}"
+UPDATED_REPORT = "Reimportación ({mode}) desde {source_filename}: {created} hallazgos nuevos, {updated} actualizados, {preserved} ediciones manuales conservadas"
+
+
 def conform(df: DataFrame, schema: dict[str, str]) -> DataFrame:
     """Add the schema columns that ``df`` lacks as typed NULLs; columns already there are kept."""
     missing = {c: F.lit(None).cast(t) for c, t in schema.items() if c not in df.columns}
