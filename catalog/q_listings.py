@@ -208,21 +208,35 @@ query("finding_evidence", """SELECT p.finding_id, pa.code AS plan_code, pa.evide
     lambda db: listings.finding_evidence(db.t, db.t.findings.select("id")))
 
 
-query("report_trees")(
-    lambda db: H.trees(db.t, "report", 2000).select("id", "code", "chunk", "chunks", F.size("findings").alias("findings")))
+_PLANS_IN = "coalesce((SELECT string_agg(pa.code, ',' ORDER BY pa.code) FROM action_plans pa WHERE pa.proposal_id = p.id), '') AS plans"
+
+
+def _tree_rows(df, *top):
+    codes = F.array_join(F.transform("proposal.action_plans", lambda x: x["code"]), ",")
+    return df.select(*top, F.col("finding.id").alias("finding_id"), F.col("finding.title").alias("title"), F.col("proposal.id").alias("proposal_id"),
+                     F.col("proposal.target_date").alias("target_date"), F.coalesce(codes, F.lit("")).alias("plans"))
+
+
+_TREE_COLS = f"f.id AS finding_id, f.title, p.id AS proposal_id, p.target_date, {_PLANS_IN}"
+query("report_trees", f"SELECT r.id AS report_id, r.code, {_TREE_COLS} FROM reports r LEFT JOIN findings f ON f.report_id = r.id LEFT JOIN proposals p ON p.finding_id = f.id")(
+    lambda db: _tree_rows(H.trees(db.t, "report"), F.col("report.id").alias("report_id"), F.col("report.code").alias("code")))
+query("findings_nested", f"SELECT r.code AS report_code, r.title AS report_title, {_TREE_COLS} FROM findings f JOIN reports r ON f.report_id = r.id LEFT JOIN proposals p ON p.finding_id = f.id")(
+    lambda db: _tree_rows(listings.findings_nested(db.t), "report_code", "report_title"))
+query("report_detail_tree", f"SELECT r.id AS report_id, {_TREE_COLS} FROM reports r LEFT JOIN findings f ON f.report_id = r.id LEFT JOIN proposals p ON p.finding_id = f.id WHERE r.id = 'r3' OR r.code = 'r3'")(
+    lambda db: _tree_rows(listings.report_detail(db.t, "r3")[0], F.col("report.id").alias("report_id")))
+query("report_detail_history", """SELECT h.id, h.entity_id, strftime(h.change_date, '%Y-%m-%d %H:%M:%S') AS change_date FROM audit_history h JOIN reports r ON r.id = h.entity_id
+  WHERE h.entity_type = 'report' AND (r.id = 'r3' OR r.code = 'r3')""")(
+    lambda db: listings.report_detail(db.t, "r3")[1].select("id", "entity_id", F.date_format("change_date", "yyyy-MM-dd HH:mm:ss").alias("change_date")))
 
 
 def _leaves(db):
     """Every plan with its path, read back out of the nested rows."""
-    df = H.trees(db.t, "report", 2000)
-    f = df.select(F.col("id").alias("report_id"), F.explode("findings").alias("f"))
-    p = f.select("report_id", F.col("f.id").alias("finding_id"), F.explode("f.proposals").alias("p"))
-    return p.select("report_id", "finding_id", F.col("p.id").alias("proposal_id"), F.explode("p.action_plans").alias("pa")).select(
+    return H.trees(db.t, "report").select(
+        F.col("report.id").alias("report_id"), F.col("finding.id").alias("finding_id"), F.col("proposal.id").alias("proposal_id"), F.explode("proposal.action_plans").alias("pa")).select(
         "report_id", "finding_id", "proposal_id", F.col("pa.id").alias("plan_id"), F.col("pa.progress_pct").alias("progress_pct"))
 
 
 query("report_tree_leaves", f"SELECT r.id AS report_id, f.id AS finding_id, p.id AS proposal_id, pa.id AS plan_id, pa.progress_pct FROM {Q.INNER4}")(_leaves)
-query("findings_nested")(lambda db: listings.findings_nested(db.t, 5000).select("id", "code", "report_code", "chunk", F.size("proposals").alias("proposals")))
 
 # --- Exports -----------------------------------------------------------------------------------------------
 

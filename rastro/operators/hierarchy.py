@@ -56,19 +56,28 @@ def plans_with_ancestors(t: Tables, reports: DataFrame | None = None) -> DataFra
     return plan_rows(t).join(proposals_with_ancestors(t, reports), F.col("pa_proposal_id") == F.col("p_id"))
 
 
+def with_children(parents: DataFrame, children: DataFrame, parent_id: str, child_key: str) -> DataFrame:
+    """Parents with their children; a parent without any stays once, with empty child columns.
+
+    The children are the left side of an inner join, so a parent with very many of them can be split at
+    run time, which a left join from the parents could not be; childless parents are added.
+    """
+    met = children.join(parents, F.col(child_key) == F.col(parent_id))
+    lone = parents.join(children.select(F.col(child_key).alias("__held")).distinct(), F.col(parent_id) == F.col("__held"), "left_anti")
+    return met.unionByName(lone, allowMissingColumns=True).select(*parents.columns, *children.columns)
+
+
 def downwards(t: Tables) -> DataFrame:
     """All reports with their findings, proposals and plans; parents without children stay."""
-    return (report_rows(t)
-            .join(finding_rows(t), F.col("f_report_id") == F.col("r_id"), "left")
-            .join(proposal_rows(t), F.col("p_finding_id") == F.col("f_id"), "left")
-            .join(plan_rows(t), F.col("pa_proposal_id") == F.col("p_id"), "left"))
+    rows = with_children(report_rows(t), finding_rows(t), "r_id", "f_report_id")
+    rows = with_children(rows, proposal_rows(t), "f_id", "p_finding_id")
+    return with_children(rows, plan_rows(t), "p_id", "pa_proposal_id")
 
 
 def findings_downwards(t: Tables) -> DataFrame:
     """Findings of existing reports; proposals and plans where there are any."""
-    return (findings_with_report(t)
-            .join(proposal_rows(t), F.col("p_finding_id") == F.col("f_id"), "left")
-            .join(plan_rows(t), F.col("pa_proposal_id") == F.col("p_id"), "left"))
+    rows = with_children(findings_with_report(t), proposal_rows(t), "f_id", "p_finding_id")
+    return with_children(rows, plan_rows(t), "p_id", "pa_proposal_id")
 
 
 def childless(parents: DataFrame, children: DataFrame, parent_key: str) -> DataFrame:
@@ -114,7 +123,7 @@ def flatten_first_plan(t: Tables) -> DataFrame:
     fp = first_plan(t)
     fp = fp.select(*[F.col(c).alias(f"pa_{c}") for c in fp.columns])
     props = proposal_rows(t).join(fp, F.col("pa_proposal_id") == F.col("p_id"), "left")
-    return findings_with_report(t).join(props, F.col("p_finding_id") == F.col("f_id"), "left")
+    return with_children(findings_with_report(t), props, "f_id", "p_finding_id")
 
 
 def decision_rows(t: Tables, cut: Column) -> DataFrame:
@@ -146,39 +155,19 @@ def _struct(prefix: str, cols: list[str], *extra) -> Column:
     return F.struct(*[F.col(f"{prefix}_{c}").alias(c) for c in cols], *extra)
 
 
-def trees(t: Tables, root: str = "report", chunk_rows: int = 20_000) -> DataFrame:
-    """Nested report (or finding) trees.
+def trees(t: Tables, root: str = "report") -> DataFrame:
+    """Nested rows of one grain whatever the sizes: one per proposal, with its plans inside.
 
-    A root with more than ``chunk_rows`` leaf rows is written as several rows, numbered by ``chunk``
-    of ``chunks``: every leaf is in exactly one of them, and no row or task has to hold a whole
-    oversized root. Roots below that size are one row.
+    Columns are ``report`` (with ``root="report"``; else the finding's ``report_code`` and ``report_title``),
+    ``finding``, ``proposal`` with ``action_plans`` in code order. A finding without proposals, and a report
+    without findings, is one row with the deeper levels empty, so the rows of a root together are its tree.
     """
-    top = "r_id" if root == "report" else "f_id"
-    flat = downwards(t) if root == "report" else findings_downwards(t)
-    sizes = flat.groupBy(top).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("chunks"))
-    leaf = F.xxhash64(F.coalesce("pa_id", "p_id", "f_id", top))
-    rows = (flat.join(sizes, top)
-            .withColumn("chunk", F.when(F.col("chunks") == 1, 0).otherwise(F.pmod(leaf, F.col("chunks"))).cast("int"))
-            .repartition(top, "chunk"))
-    plan = F.when(F.col("pa_id").isNotNull(), _struct("pa", PLAN_COLS))
-    keep = [top, "chunk", "chunks"]
-    by_proposal = rows.groupBy(*keep, "f_id", "p_id").agg(
-        F.any_value(_struct("r", REPORT_COLS)).alias("r"), F.any_value(_struct("f", FINDING_COLS)).alias("f"),
-        F.any_value(_struct("p", PROPOSAL_COLS)).alias("p"),
-        F.sort_array(F.collect_list(F.struct(F.col("pa_code").alias("k"), plan.alias("v")))).alias("plans"))
-    proposal = F.when(F.col("p_id").isNotNull(), F.struct(
-        "p.*", F.transform(F.filter("plans", lambda x: x["v"].isNotNull()), lambda x: x["v"]).alias("action_plans")))
-    keep = keep if root == "finding" else [*keep, "f_id"]
-    by_finding = by_proposal.groupBy(*keep).agg(
-        F.any_value(F.col("r")).alias("r"), F.any_value(F.col("f")).alias("f"),
-        F.sort_array(F.collect_list(F.struct(F.col("p.code").alias("k"), proposal.alias("v")))).alias("props"))
-    nested = F.transform(F.filter("props", lambda x: x["v"].isNotNull()), lambda x: x["v"]).alias("proposals")
-    if root == "finding":
-        return by_finding.select("f.*", F.col("r.code").alias("report_code"), F.col("r.title").alias("report_title"),
-                                 "chunk", "chunks", nested)
-    finding = F.when(F.col("f_id").isNotNull(), F.struct("f.*", nested))
-    by_report = by_finding.groupBy("r_id", "chunk", "chunks").agg(
-        F.any_value(F.col("r")).alias("r"),
-        F.sort_array(F.collect_list(F.struct(F.col("f.code").alias("k"), finding.alias("v")))).alias("fs"))
-    return by_report.select("r.*", "chunk", "chunks", F.transform(
-        F.filter("fs", lambda x: x["v"].isNotNull()), lambda x: x["v"]).alias("findings"))
+    plans = t.action_plans.groupBy("proposal_id").agg(F.sort_array(F.collect_list(F.struct(F.col("code").alias("k"), F.struct(*PLAN_COLS).alias("v")))).alias("plans"))
+    props = proposal_rows(t).join(plans.withColumnRenamed("proposal_id", "p_id"), "p_id", "left")
+    parents = with_children(report_rows(t), finding_rows(t), "r_id", "f_report_id") if root == "report" else findings_with_report(t)
+    rows = with_children(parents, props, "f_id", "p_finding_id")
+    inner = F.transform(F.coalesce("plans", F.array().cast(props.schema["plans"].dataType)), lambda x: x["v"])
+    proposal = F.when(F.col("p_id").isNotNull(), _struct("p", PROPOSAL_COLS, inner.alias("action_plans"))).alias("proposal")
+    finding = F.when(F.col("f_id").isNotNull(), _struct("f", FINDING_COLS)).alias("finding")
+    top = [_struct("r", REPORT_COLS).alias("report")] if root == "report" else [F.col("r_code").alias("report_code"), F.col("r_title").alias("report_title")]
+    return rows.select(*top, finding, proposal)

@@ -71,19 +71,20 @@ def plans(t: Tables, cut: Column, search=None, status=None) -> DataFrame:
             .filter(listing_status_filter(status)).orderBy("code", "id"))
 
 
-def findings_nested(t: Tables, chunk_rows: int = 20_000) -> DataFrame:
-    return H.trees(t, "finding", chunk_rows)
+def findings_nested(t: Tables) -> DataFrame:
+    """Findings of existing reports with their proposals, a row each, and the plans inside."""
+    return H.trees(t, "finding")
 
 
 # --- Details ---------------------------------------------------------------------------------------
 
-def report_detail(t: Tables, key: str, chunk_rows: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def report_detail(t: Tables, key: str) -> tuple[DataFrame, DataFrame]:
     """The report's tree and its own history, newest first."""
     one = t.with_(reports=H.by_id_or_code(t.reports, key))
     hist = (t.audit_history.filter(F.col("entity_type") == "report")
             .join(one.reports.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
             .orderBy(F.desc("change_date"), F.desc("id")))
-    return H.trees(one, "report", chunk_rows), hist
+    return H.trees(one, "report"), hist
 
 
 def finding_history(t: Tables, finding_ids: DataFrame) -> DataFrame:
@@ -105,11 +106,11 @@ def finding_evidence(t: Tables, finding_ids: DataFrame) -> DataFrame:
                     F.col("last_updated").alias("date")))
 
 
-def finding_detail(t: Tables, key: str, chunk_rows: int = 20_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def finding_detail(t: Tables, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Tree, evidence files and merged history of one finding."""
     one = t.with_(findings=H.by_id_or_code(t.findings, key))
     ids = one.findings.select("id")
-    return H.trees(one, "finding", chunk_rows), finding_evidence(t, ids), finding_history(t, ids)
+    return H.trees(one, "finding"), finding_evidence(t, ids), finding_history(t, ids)
 
 
 # --- Screen table ----------------------------------------------------------------------------------
