@@ -94,17 +94,16 @@ query("import_matches", "SELECT CAST(substr(id, 2) AS BIGINT) AS row_no, id FROM
 
 
 def _match_repeated(db):
-    """Many rows share a text: every plan of a proposal is offered again under the same key."""
+    """Many rows share a text: every plan is offered again under the same key."""
     n = F.substring("code", 9, 20).cast("bigint")
     old = db.t.action_plans.select("id", F.lit("one").alias("parent_id"), F.lit("").alias("code"), F.col("action_text").alias("key"))
-    inc = db.t.action_plans.filter(n % 2 == 0).select(n.alias("row_no"), F.lit("one").alias("parent_id"), F.lit("").alias("code"), F.col("action_text").alias("key"))
+    inc = db.t.action_plans.select(n.alias("row_no"), F.lit("one").alias("parent_id"), F.lit("").alias("code"), F.col("action_text").alias("key"))
     pairs = M.match(inc, old, span=1000)
     both = pairs.join(inc, "row_no").join(old.select("id", F.col("key").alias("old_key")), "id")
     return both.groupBy("key").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("id").alias("used"), F.bool_and(F.col("key") == F.col("old_key")).alias("same_key"))
 
 
-query("import_matches_repeated_text", """SELECT action_text AS key, count(*) FILTER (WHERE CAST(substr(code, 9) AS BIGINT) % 2 = 0) AS pairs,
-  count(*) FILTER (WHERE CAST(substr(code, 9) AS BIGINT) % 2 = 0) AS used, true AS same_key FROM action_plans GROUP BY 1 HAVING count(*) FILTER (WHERE CAST(substr(code, 9) AS BIGINT) % 2 = 0) > 0""")(_match_repeated)
+query("import_matches_repeated_text", "SELECT action_text AS key, count(*) AS pairs, count(*) AS used, true AS same_key FROM action_plans GROUP BY 1")(_match_repeated)
 
 _RN = "CAST(substr(p.id, 2) AS BIGINT)"
 query("import_conflicts", """WITH i AS (SELECT n AS row_no, finding_id AS parent_id, 'PM-2026-' || (10000 + CASE WHEN n % 50 = 7 THEN n + 1 ELSE n END) AS code FROM
@@ -126,10 +125,13 @@ _SAME = f"""fm AS (SELECT i.row_no, f.id, coalesce(f.action_owner, '') = '' OR c
 query("import_finding_outcomes", f"""WITH {_SAME}, seen AS (SELECT 'finding' AS entity, CASE WHEN changed THEN 'updated' ELSE 'unchanged' END AS outcome, count(*) AS total FROM fm GROUP BY 1, 2
   UNION ALL SELECT 'finding', 'created', count(*) FROM in_findings WHERE row_no % 10 = 4
   UNION ALL SELECT 'proposal', CASE WHEN changed THEN 'updated' ELSE 'unchanged' END, count(*) FROM (SELECT (p.action_owner = '' OR p.responsible_area = '' OR coalesce(p.proposal_text, '') = ''
-     OR (coalesce(p.target_date, '') = '' AND i.row_no % 8 = 0)) AS changed FROM in_proposals i JOIN proposals p ON CAST(substr(p.id, 2) AS BIGINT) = i.row_no) z GROUP BY 1, 2)
- SELECT e AS entity, o AS outcome, coalesce(max(total), 0)::BIGINT AS total FROM (SELECT unnest(['finding', 'proposal']) AS e), (SELECT unnest(['created', 'updated', 'unchanged', 'rejected']) AS o)
+     OR (coalesce(p.target_date, '') = '' AND i.row_no % 8 = 0)) AS changed FROM in_proposals i JOIN proposals p ON CAST(substr(p.id, 2) AS BIGINT) = i.row_no WHERE i.parent_row % 10 <> 4) z GROUP BY 1, 2
+  UNION ALL SELECT 'proposal', 'created', count(*) FROM in_proposals WHERE parent_row % 10 = 4
+  UNION ALL SELECT 'action_plan', CASE WHEN parent_row % 10 = 4 THEN 'created' WHEN changed THEN 'updated' ELSE 'unchanged' END, count(*) FROM (SELECT i.parent_row, coalesce(a.action_owner, '') = ''
+     OR (coalesce(a.target_date, '') = '' AND {Q.date('i.target_date')} IS NOT NULL) AS changed FROM in_plans a JOIN in_proposals i ON i.row_no = a.parent_row) z GROUP BY 1, 2)
+ SELECT e AS entity, o AS outcome, coalesce(max(total), 0)::BIGINT AS total FROM (SELECT unnest(['finding', 'proposal', 'action_plan']) AS e), (SELECT unnest(['created', 'updated', 'unchanged', 'rejected']) AS o)
  LEFT JOIN seen ON entity = e AND outcome = o GROUP BY 1, 2""")(
-    lambda db: _imported(db).counts.filter("entity <> 'action_plan'").groupBy("entity", "outcome").agg(F.sum("total").alias("total")))
+    lambda db: _imported(db).counts.groupBy("entity", "outcome").agg(F.sum("total").alias("total")))
 
 
 _IMPORTS: dict = {}

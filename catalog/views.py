@@ -52,7 +52,7 @@ FROM {customer}"""
 
 VIEWS["proposals"] = """
 SELECT 'p' || CAST(o_orderkey AS STRING)                 AS id,
-       'f' || CAST(o_custkey AS STRING)                  AS finding_id,
+       'f' || CAST(CASE WHEN o_custkey % 25 = 0 THEN o_custkey + 1 ELSE o_custkey END AS STRING) AS finding_id,
        'PM-2026-' || CAST(10000 + o_orderkey AS STRING)  AS code,
        'Propuesta ' || CAST(o_orderkey AS STRING)        AS title,
        CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE 'Mejorar el control ' || CAST(o_orderkey AS STRING) END AS proposal_text,
@@ -70,8 +70,7 @@ SELECT 'p' || CAST(o_orderkey AS STRING)                 AS id,
             ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'En suspensión' ELSE 'Pendiente de validación' END END AS status,
        CASE WHEN o_orderstatus = 'F' AND o_orderkey % 3 <> 0 THEN 'Auditor' ELSE NULL END AS validated_by,
        CASE WHEN o_orderstatus = 'F' AND o_orderkey % 3 = 1 THEN '1998-08-01' ELSE NULL END AS validated_at
-FROM {orders}
-WHERE o_custkey % 25 <> 0"""
+FROM {orders}"""
 
 VIEWS["action_plans"] = """
 SELECT 'a' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS id,
@@ -90,8 +89,7 @@ SELECT 'a' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING)
        CASE WHEN max(l_partkey) % 20 = 0 THEN 'ev-' || CAST(l_orderkey AS STRING) || '.pdf' ELSE '' END AS evidence_file,
        CASE WHEN max(l_partkey) % 15 = 0 THEN 'Nota ' || CAST(l_orderkey AS STRING) ELSE '' END AS notes,
        CAST(max(l_shipdate) - INTERVAL '40' DAY AS DATE) AS last_updated
-FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
-WHERE o_custkey % 25 <> 0
+FROM {lineitem}
 GROUP BY l_orderkey, l_linenumber"""
 
 VIEWS["audit_history"] = """
@@ -112,8 +110,7 @@ SELECT id AS plan_id,
        CASE WHEN progress_pct % 4 = 0 THEN 'Finalizado' WHEN progress_pct % 6 = 0 THEN 'En proceso' ELSE NULL END AS status,
        CASE WHEN progress_pct % 10 = 0 THEN 100 WHEN progress_pct % 14 = 0 THEN 250 ELSE NULL END AS progress_pct,
        progress_pct % 8 = 0                              AS confirm_finalize
-FROM {action_plans}
-WHERE substr(target_date, 9, 2) IN ('01', '15')"""
+FROM {action_plans}"""
 
 VIEWS["plan_log"] = """
 SELECT 'a' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS plan_id,
@@ -237,15 +234,14 @@ SELECT 'b' || substr(report_id, 2) AS batch, n AS row_no,
 FROM (SELECT *, CAST(substr(id, 2) AS BIGINT) AS n FROM {findings}) f"""
 VIEWS["in_proposals"] = """
 SELECT 'b' || substr(f.report_id, 2) AS batch, p.n AS row_no, CAST(substr(p.finding_id, 2) AS BIGINT) AS parent_row,
-       CASE WHEN p.n % 12 = 0 AND p.n % 13 <> 0 THEN '' ELSE p.code END AS code, p.title, p.proposal_text, p.responsible_area, p.action_owner,
+       CASE WHEN p.n % 12 = 0 AND p.n % 13 <> 0 OR CAST(substr(f.id, 2) AS BIGINT) % 10 = 4 THEN '' ELSE p.code END AS code, p.title, p.proposal_text, p.responsible_area, p.action_owner,
        CASE WHEN p.n % 8 = 0 THEN '30/06/2026' ELSE p.target_date END AS target_date, p.status
-FROM (SELECT *, CAST(substr(id, 2) AS BIGINT) AS n FROM {proposals}) p JOIN {findings} f ON p.finding_id = f.id
-WHERE CAST(substr(f.id, 2) AS BIGINT) % 10 <> 4"""
+FROM (SELECT *, CAST(substr(id, 2) AS BIGINT) AS n FROM {proposals}) p JOIN {findings} f ON p.finding_id = f.id"""
 VIEWS["in_plans"] = """
 SELECT 'b' || substr(f.report_id, 2) AS batch, CAST(substr(a.code, 9) AS BIGINT) AS row_no, CAST(substr(p.id, 2) AS BIGINT) AS parent_row,
-       a.code, a.title, a.action_text, a.action_owner, a.target_date, a.status, CAST(a.progress_pct AS STRING) AS progress_pct, a.notes
-FROM {action_plans} a JOIN {proposals} p ON a.proposal_id = p.id JOIN {findings} f ON p.finding_id = f.id
-WHERE CAST(substr(f.id, 2) AS BIGINT) % 10 <> 4"""
+       CASE WHEN CAST(substr(f.id, 2) AS BIGINT) % 10 = 4 THEN '' ELSE a.code END AS code, a.title, a.action_text, a.action_owner, a.target_date, a.status,
+       CAST(a.progress_pct AS STRING) AS progress_pct, a.notes
+FROM {action_plans} a JOIN {proposals} p ON a.proposal_id = p.id JOIN {findings} f ON p.finding_id = f.id"""
 
 VIEWS["stored_batches"] = """
 SELECT 'i' || CAST(c_custkey AS STRING) AS id, 'r' || CAST(c_nationkey AS STRING) AS report_id, md5('content ' || CAST(c_custkey % 40 AS STRING)) AS content_fingerprint,

@@ -1,9 +1,10 @@
 """Folding ordered plan changes without collecting all changes of a plan in one place.
 
 What a change does depends only on the plan's status and on whether its progress is 100: eight
-situations. A change is therefore a small table "situation before -> result", two tables in a row
-combine into one of the same shape, and a plan's changes are combined in blocks, then blocks of
-blocks. No group ever holds more than ``fan`` elements, however many changes one plan has.
+situations. A change is therefore a small table "situation before -> result", and two tables in a row
+combine into one of the same shape. Plans with at most ``fan`` changes are folded by one grouping, in
+which the bare changes travel; the changes of a plan with more are ranked, combined in blocks of ``fan``,
+then in blocks of blocks. No group ever holds more than ``fan`` elements, and both ways give the same.
 """
 
 from __future__ import annotations
@@ -13,8 +14,11 @@ from pyspark.sql import functions as F
 
 from rastro import schema as S
 from rastro.functions.status import normalize_status
+from rastro.operators.blocks import numbered
+from rastro.session import settle
 
 _OPEN, _SUSPENDED, _PENDING, _DONE = range(4)
+_PLAIN = ("target_date", "evidence_file", "action_owner")
 _TYPE = "struct<entries:array<struct<s:int,p:int,pend:boolean,open:boolean>>,notes:string>"
 
 
@@ -32,26 +36,29 @@ def situation(status, pct) -> Column:
     return status_index(status) * 2 + full + 1
 
 
-def _entry(now: int, full: bool) -> Column:
-    asked = F.coalesce(F.col("__asked"), F.lit(now))
-    reopened = F.col("__asked").isNotNull() & (asked == _OPEN) & F.lit(now in (_DONE, _PENDING) or full)
-    pct = F.when(asked == _DONE, 100).when(reopened, 0).otherwise(F.col("__pct"))
+def _entry(now: int, full: bool, c: Column) -> Column:
+    asked = F.coalesce(c["asked"], F.lit(now))
+    reopened = c["asked"].isNotNull() & (asked == _OPEN) & F.lit(now in (_DONE, _PENDING) or full)
+    pct = F.when(asked == _DONE, 100).when(reopened, 0).otherwise(c["pct"])
     at_100 = F.coalesce(pct == 100, F.lit(full))
     closing = at_100 & (asked != _SUSPENDED)
-    status = F.when(closing & F.col("__confirmed"), _DONE).when(closing, _PENDING).otherwise(asked)
-    return F.struct(status.alias("s"), pct.alias("p"), (closing & ~F.col("__confirmed")).alias("pend"),
+    status = F.when(closing & c["confirmed"], _DONE).when(closing, _PENDING).otherwise(asked)
+    return F.struct(status.alias("s"), pct.alias("p"), (closing & ~c["confirmed"]).alias("pend"),
                     (status != _DONE).alias("open"))
 
 
-def _as_table(changes: DataFrame) -> DataFrame:
+def _bare(changes: DataFrame) -> DataFrame:
+    """plan_id, change_no and what a change asks for."""
     asked = F.when(F.col("status").isNotNull(), status_index("status"))
     pct = F.greatest(F.lit(0), F.least(F.lit(100), F.col("progress_pct"))).cast("int")
-    staged = changes.withColumns({
-        "__asked": asked, "__pct": F.when(F.col("progress_pct").isNotNull(), pct),
-        "__confirmed": F.coalesce("confirm_finalize", F.lit(False))})
-    entries = F.array(*[_entry(now, full) for now in range(4) for full in (False, True)])
-    table = F.struct(entries.alias("entries"), F.col("notes").cast("string").alias("notes")).cast(_TYPE)
-    return staged.select("plan_id", F.col("change_no").alias("at"), table.alias("change"))
+    change = F.struct(asked.alias("asked"), F.when(F.col("progress_pct").isNotNull(), pct).alias("pct"),
+                      F.coalesce("confirm_finalize", F.lit(False)).alias("confirmed"), F.col("notes").cast("string").alias("notes"))
+    return changes.select("plan_id", "change_no", change.alias("bare"), *_PLAIN)
+
+
+def _table(c: Column) -> Column:
+    entries = F.array(*[_entry(now, full, c) for now in range(4) for full in (False, True)])
+    return F.struct(entries.alias("entries"), c["notes"].alias("notes")).cast(_TYPE)
 
 
 def _then(a: Column, b: Column) -> Column:
@@ -65,23 +72,34 @@ def _then(a: Column, b: Column) -> Column:
     return F.struct(F.transform(a["entries"], step).alias("entries"), F.coalesce(b["notes"], a["notes"]).alias("notes"))
 
 
-def _combined(ordered: Column) -> Column:
-    changes = F.transform(F.array_sort(ordered), lambda x: x["change"])
+def _combined(ordered: Column, table=lambda x: x["change"]) -> Column:
+    changes = F.transform(F.array_sort(ordered), table)
     return F.aggregate(F.slice(changes, F.lit(2), F.size(changes)), changes[0], _then)
 
 
+def _plain(order: str) -> list[Column]:
+    return [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"new_{c}") for c in _PLAIN]
+
+
 def fold_changes(changes: DataFrame, fan: int = 1000, levels: int = 3) -> DataFrame:
     """One combined change per plan: ``change`` plus the last value given for the plain fields.
 
-    ``change_no`` orders the changes and is unique; the last group of a plan holds at most
-    ``max(change_no) / fan ** levels`` elements.
+    ``change_no`` orders the changes and is unique within a plan; ``levels`` blocks of blocks do for
+    ``fan ** (levels + 1)`` changes of one plan.
     """
-    level = _as_table(changes)
+    bare = _bare(changes)
+    busy = settle(changes.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > fan).select("plan_id"), "busy-plans")
+    none = busy.isEmpty()
+    few = bare if none else bare.join(busy, "plan_id", "left_anti")
+    folded = few.groupBy("plan_id").agg(
+        F.collect_list(F.struct(F.col("change_no").alias("k"), "bare")).alias("all"), *_plain("change_no"))
+    folded = folded.select("plan_id", _combined(F.col("all"), lambda x: _table(x["bare"])).alias("change"), *[f"new_{c}" for c in _PLAIN])
+    if none:
+        return folded
+    many = bare.join(busy, "plan_id", "left_semi")
+    level = numbered(many, ["plan_id"], "change_no", "at", fan).select("plan_id", "at", _table(F.col("bare")).alias("change"))
     for _ in range(levels):
         level = (level.groupBy("plan_id", F.floor(F.col("at") / fan).alias("at"))
                  .agg(_combined(F.collect_list(F.struct(F.col("at").alias("k"), "change"))).alias("change")))
     table = level.groupBy("plan_id").agg(_combined(F.collect_list(F.struct(F.col("at").alias("k"), "change"))).alias("change"))
-    plain = changes.groupBy("plan_id").agg(*[
-        F.max_by(c, F.when(F.col(c).isNotNull(), F.col("change_no"))).alias(f"new_{c}")
-        for c in ("target_date", "evidence_file", "action_owner")])
-    return table.join(plain, "plan_id")
+    return folded.unionByName(table.join(many.groupBy("plan_id").agg(*_plain("change_no")), "plan_id"))
