@@ -31,7 +31,7 @@ from rastro.llm.common import ddl_type, map_rows, read
 #: Bytes of a piece from which on the heap is used; below, lengths are bucketed by powers of two.
 LONG = 512
 #: Chunks and pieces a task remembers; when full, the newer half goes, as frequent ones come early.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Unicode's white space, which is what ``\\s`` means to the tokenizer.
 _BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Cuts at white space as the tokenizer's pattern does.

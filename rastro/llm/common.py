@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 
 #: Rows and bytes of an Arrow batch that are turned into Python objects at once, so that long texts stay few in memory.
-SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20
+SLICE_ROWS, SLICE_BYTES = 1024, 2 << 20
 
 _SHIPPED: set[str] = set()
 
@@ -58,11 +59,23 @@ def map_rows(df: DataFrame, schema: str, fn: Callable[[list], list], setup: Call
                     arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(out, arrow_schema)]
                     yield pa.RecordBatch.from_arrays(arrays, schema=arrow_schema)
         finally:
+            state = None
             gc.enable()
+            give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker waits for its next task with what it holds, beside the JVM that then works alone."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library than glibc
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Halve a batch until each part is small, or one row."""
     n = batch.num_rows

@@ -36,7 +36,7 @@ ALLOWANCE = 3.0
 #: Labels from which on the training table is refused.
 MOST_LANGUAGES = 2000
 #: Words a task remembers the scores of; when full, it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _LEFT, _RIGHT = "\x02", "\x03"
@@ -184,16 +184,16 @@ def _gram_counts(order: int):
     return rows
 
 
-def _shuffled(columns):
+def _shuffled(texts: list[str | None]) -> list[str]:
     """The texts' letters in another order, in words of the same lengths."""
     out = []
-    for text in columns[0]:
+    for text in texts:
         words = letters(text)
         mixed = list("".join(words))
         np.random.default_rng(len(mixed)).shuffle(mixed)
         at = np.cumsum([0] + [len(w) for w in words])
         out.append(" ".join("".join(mixed[i:j]) for i, j in zip(at, at[1:])))
-    return [out, columns[1]]
+    return out
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", order: int = ORDER, sample: int = SAMPLE) -> Model | None:
@@ -219,7 +219,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     model = fit(counted, order)
     held = drawn.where("calibrate").select("text", "lang")
     own = score(held, model, "lang", "text").where("n_letters > 0 and lang = lang_pred").select("lang", "entropy", "n_letters").toPandas()
-    mixed = score(map_rows(held, "text string, lang string", _shuffled), model, "lang", "text").where("n_letters > 0").select("lang", "entropy").toPandas()
+    mixed = score(held, model, "lang", "text", shuffled=True).where("n_letters > 0").select("lang", "entropy").toPandas()
     for lang in model.langs:
         real, noise = own[own["lang"] == lang], mixed[mixed["lang"] == lang]["entropy"]
         if len(real) >= 20 and noise.median() > real["entropy"].median():
@@ -279,18 +279,19 @@ class _Scorer:
         return [langs, scores, entropies, counts, rejected]
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", shuffled: bool = False) -> DataFrame:
     """``id_col``, ``lang_pred``, ``score`` (0 to 1), ``entropy`` (nats a letter), ``n_letters``, ``rejected``; one row per document.
 
     A null text and a text without a letter are ``und`` with a score of 0, and rejected; so is everything if there
     is no model. A rejected text still names its nearest language, with a score of 0. The score is the share of the
     best language among all, each weighed by its entropy over the root of the length. Ties go to the first name.
+    ``shuffled`` scores the texts with their letters in another order, for the calibration.
     """
     # A model holds a bounded sample's grams, so its size has a bound too.
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(columns, scorer):
-        return [columns[0], *scorer.score(columns[1])]
+        return [columns[0], *scorer.score(_shuffled(columns[1]) if shuffled else columns[1])]
 
     schema = f"`{id_col}` {ddl_type(docs, id_col)}, lang_pred string, score double, entropy double, n_letters bigint, rejected boolean"
     return map_rows(docs.select(id_col, text_col), schema, rows, lambda: _Scorer(shared.value))
