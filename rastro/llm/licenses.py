@@ -1,19 +1,19 @@
 """License scans by conditional compression.
 
-A block of text that may be a license notice is compressed with zstandard once plainly and once with every
-template as a raw dictionary. The template that saves the largest part of the size is the candidate, and it is
-confirmed by the exact differences in wording: words that the block lacks, has more, or has otherwise.
-
-Blocks are cut from whole texts: each line that holds a cue word, together with the lines that follow it
-without a break as long as the longest template may go on. Templates are a table of (name, text).
+A text is one stream of words, over all its lines and without comment marks. For every template the stretches are
+sought that hold a cue and differ from the template by few words, wherever they begin: windows of the template's own
+length around the cues. Each is compressed with zstandard once plainly and once with the template as a raw dictionary;
+where enough of the size is saved, the exact differences in wording confirm it: words that the stretch lacks, has more,
+or has otherwise. Templates are a table of (name, text).
 """
 
 from __future__ import annotations
 
-import difflib
 import re
+from bisect import bisect
 from dataclasses import dataclass
 
+import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,21 +51,25 @@ TEMPLATES = (
     ("public-domain", "This work is dedicated to the public domain."),
 )
 
-#: A line with one of these starts a block.
+#: A notice holds one of these, over line ends and comment marks as well.
 CUES = ("licen", "copyright", "permission", "redistribut", "rights reserved", "public domain", "creative commons", "free software", "cc by", "spdx")
-_CUE = re.compile("|".join(map(re.escape, CUES)), re.IGNORECASE)
+_CUE = re.compile("|".join(map(re.escape, CUES)))
+_MAYBE = re.compile("|".join(re.escape(c).replace(r"\ ", r"[\W_]+") for c in CUES), re.IGNORECASE)
 _WORD = re.compile(r"\S+")
+#: Comment marks, and what else is no part of a word at its ends.
+_MARKS = "/*#%!<>|-;"
+_AROUND = ".,:()\"'" + _MARKS
 
 #: Saved part of the plainly compressed size, in per cent, from which on wordings are compared.
 LEAST_SAVING = 25
 #: Words, in per cent of the template's, that may be missing, added or other in a confirmed block.
 MOST_OTHER_WORDS = 20
-#: Candidates whose wording is compared, best saving first; ties in saving are all compared.
-COMPARED = 3
+
+_COST = 1 << 32  # one word missing or added; below it the place a stretch begins at
 
 
 def words(text: str) -> list[str]:
-    return [w.strip(".,;:()\"'").lower() for w in _WORD.findall(text)]
+    return [x for w in _WORD.findall(text) if (x := w.strip(_AROUND).lower())]
 
 
 @dataclass(frozen=True)
@@ -73,94 +77,173 @@ class Template:
     name: str
     text: str
     words: tuple[str, ...]
+    numbers: np.ndarray
+    most_other: int
+
+
+@dataclass(frozen=True)
+class Stream:
+    """A text's words, their (start, end) in code points, their numbers among all templates' words, and whether each belongs to a cue."""
+
+    text: str
+    words: list[str]
+    places: list[tuple[int, int]]
+    numbers: np.ndarray
+    cues: np.ndarray
+
+    def broken(self, i: int) -> bool:
+        """Does a line end stand before word ``i``?"""
+        return "\n" in self.text[self.places[i - 1][1]:self.places[i][0]]
+
+    def closed(self, i: int) -> bool:
+        """Does word ``i`` end a sentence?"""
+        return self.text[self.places[i][0]:self.places[i][1]].rstrip("\"')")[-1:] in (".", "!", "?")
 
 
 class Matcher:
     """Dictionaries of all templates, built once per task."""
 
     def __init__(self, templates: tuple[tuple[str, str], ...]):
-        self.templates = [Template(n, t, tuple(words(t))) for n, t in templates]
-        self.longest = max((len(t.words) for t in self.templates), default=0)
+        self.vocabulary: dict[str, int] = {}
+        self.templates = []
+        for name, text in templates:
+            ws = tuple(words(text))
+            numbers = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in ws], dtype=np.int64)
+            self.templates.append(Template(name, text, ws, numbers, MOST_OTHER_WORDS * len(ws) // 100))
+        self.holds = [np.append(np.isin(np.arange(len(self.vocabulary)), t.numbers), False) for t in self.templates]  # the last for other words, -1
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
-        self.given = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(t.text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+        self.given = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(t.text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT),
                                                write_content_size=False, write_checksum=False, write_dict_id=False) for t in self.templates]
 
-    def savings(self, block: str) -> list[tuple[float, int]]:
-        """(saved part in per cent, template number), the largest first; equal ones in the table's order."""
-        raw = block.encode()
+    def stream(self, text: str) -> Stream:
+        found, places = [], []
+        for m in _WORD.finditer(text):
+            word = m[0].strip(_AROUND).lower()
+            if word:
+                found.append(word)
+                behind = next((len(x) for x in ("*/", "-->") if m[0].endswith(x)), 0)
+                places.append((m.end() - len(m[0].lstrip(_MARKS)), m.end() - behind))
+        numbers = np.fromiter((self.vocabulary.get(w, -1) for w in found), dtype=np.int64, count=len(found))
+        starts = np.cumsum([0] + [len(w) + 1 for w in found])
+        cues = np.zeros(len(found), dtype=bool)
+        for m in _CUE.finditer(" ".join(found)):
+            first, last = np.searchsorted(starts, [m.start(), m.end() - 1], side="right") - 1
+            cues[first:last + 1] = True
+        return Stream(text, found, places, numbers, cues)
+
+    def saving(self, block: str, i: int) -> float:
+        """What template ``i`` as a dictionary saves of the plainly compressed size, in per cent; case does not count."""
+        raw = block.lower().encode()
         whole = len(self.plain.compress(raw))
-        return sorted(((100 * (whole - len(c.compress(raw))) / whole, i) for i, c in enumerate(self.given)), key=lambda s: (-s[0], s[1]))
-
-    def match(self, block: str) -> dict | None:
-        """The confirmed template with the fewest other words, or None."""
-        ranked = [s for s in self.savings(block) if s[0] >= LEAST_SAVING]
-        best = None
-        for saving, i in [s for s in ranked if s[0] >= ranked[min(COMPARED, len(ranked)) - 1][0]]:
-            found = differences(self.templates[i].words, words(block))
-            if 100 * found["n_other"] <= MOST_OTHER_WORDS * len(self.templates[i].words) and (best is None or found["n_other"] < best["n_other"]):
-                best = {"license": self.templates[i].name, "template": i, "saving": round(saving, 3), **found}
-        return best
-
-
-def differences(template: tuple[str, ...], block: list[str]) -> dict:
-    """Words missing, added or replaced between the template's first and last word in the block; what stands around it does not count."""
-    ops = difflib.SequenceMatcher(None, template, block, autojunk=False).get_opcodes()
-    missing, added = [], []
-    for place, (tag, a0, a1, b0, b1) in enumerate(ops):
-        if tag == "equal":
-            continue
-        missing += template[a0:a1]
-        outside = tag == "insert" and place in (0, len(ops) - 1)
-        if not outside:
-            added += block[b0:b1]
-    return {"n_other": len(missing) + len(added), "missing": missing, "added": added}
-
-
-def blocks(text: str | None, longest: int) -> list[tuple[int, int]]:
-    """(start, end) of candidate blocks in code points: whole lines, from a cue on, apart.
-
-    A block goes on over following lines that are not blank until it has as many words as the longest template and a cue's own line is done.
+        return 100 * (whole - len(self.given[i].compress(raw))) / whole
+
+    def matches(self, stream: Stream) -> list[dict]:
+        """Every confirmed stretch of every template; they may overlap."""
+        hits = []
+        for i, t in enumerate(self.templates):
+            for start, end in windows(stream, t, self.holds[i]):
+                saving = self.saving(" ".join(stream.text[a:b] for a, b in stream.places[start:end]), i)
+                if saving < LEAST_SAVING:
+                    continue
+                found = differences(t, stream, start, end)
+                if found["n_other"] <= t.most_other:
+                    hits.append({"license": t.name, "template": i, "saving": round(saving, 3), **found, "start": stream.places[start][0], "end": stream.places[end - 1][1]})
+        return hits
+
+
+def windows(stream: Stream, t: Template, holds: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches (first word, word behind the last) that differ from the template by ``most_other`` words or fewer, the best of each beginning.
+
+    Nothing is lost beforehand: such a stretch has at most ``most_other`` words more than the template, and all
+    but ``most_other`` of the template's words stand in it.
     """
-    if not text or not _CUE.search(text):
+    n, size = len(stream.words), len(t.words)
+    if not size or n < size - t.most_other:
+        return []
+    reach = size + t.most_other
+    behind = np.minimum(np.arange(n) + reach, n)
+    alike = np.concatenate(([0], np.cumsum(holds[stream.numbers])))
+    cues = np.concatenate(([0], np.cumsum(stream.cues)))
+    starts = np.flatnonzero((alike[behind] - alike[:-1] >= size - t.most_other) & (cues[behind] > cues[:-1]))
+    if not len(starts):
         return []
-    lines, at = [], 0
-    for line in text.split("\n"):
-        lines.append((at, at + len(line), line))
-        at += len(line) + 1
-    out, i = [], 0
-    while i < len(lines):
-        start, end, line = lines[i]
-        i += 1
-        if not _CUE.search(line):
-            continue
-        n = len(_WORD.findall(line))
-        out.append((start, end))  # the line by itself
-        j = i
-        while j < len(lines) and lines[j][2].strip() and n < longest:
-            n += len(_WORD.findall(lines[j][2]))
-            end = lines[j][1]
-            j += 1
-        if j > i:
-            out.append((start, end))  # and with what follows, for notices of several lines
+    gaps = np.flatnonzero(starts[1:] > behind[starts[:-1]]) + 1
+    out = []
+    for part in np.split(starts, gaps):
+        at, to = int(part[0]), int(behind[part[-1]])
+        last = _distances(t.numbers, stream.numbers[at:to], anywhere=True)[-1]
+        cost = -(-last // _COST)  # last is cost * _COST - start
+        best: dict[int, tuple[int, int]] = {}
+        for end in np.flatnonzero(cost <= t.most_other).tolist():
+            start = int(cost[end] * _COST - last[end])
+            if end > start and (start not in best or cost[end] < best[start][0]):
+                best[start] = (int(cost[end]), end)
+        out += [(at + start, at + end) for start, (_, end) in best.items() if stream.cues[at + start:at + end].any()]
     return out
 
 
-def sentences(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """A long line's sentences with a cue, so that a notice within a paragraph is a block of its own."""
-    out = []
-    for m in re.finditer(r"[^.!?\n]+(?:[.!?](?!\s)[^.!?\n]*)*[.!?]?", text[start:end]):
-        if _CUE.search(m[0]):
-            lead = len(m[0]) - len(m[0].lstrip())
-            out.append((start + m.start() + lead, start + m.end()))
-    return out
+def _distances(template: np.ndarray, block: np.ndarray, anywhere: bool) -> list[np.ndarray]:
+    """Words missing and added between the template's beginning and the block's words before each place.
+
+    All rows if the block is compared from its first word on. ``anywhere``: the last row alone, for stretches that begin at any
+    word, as distance * _COST - beginning; of equal ones the latest beginning.
+    """
+    steps = np.arange(len(block) + 1, dtype=np.int64) * _COST
+    row = -np.arange(len(block) + 1, dtype=np.int64) if anywhere else steps
+    rows = [row]
+    for word in template:
+        new = row + _COST
+        same = np.flatnonzero(block == word)
+        new[same + 1] = np.minimum(new[same + 1], row[same])
+        row = np.minimum.accumulate(new - steps) + steps
+        if anywhere:
+            rows[0] = row
+        else:
+            rows.append(row)
+    return rows
+
+
+def differences(t: Template, stream: Stream, start: int, end: int) -> dict:
+    """Words missing, added or replaced between the template's first and last word in the stretch; what stands around it does not count.
+
+    But where the template's first or last words are missing and the sentence goes on in the same line, or with a
+    number in the next, the words there stand in their place.
+    """
+    block = stream.numbers[start:end]
+    rows = _distances(t.numbers, block, anywhere=False)
+    i, j = len(t.words), end - start
+    missing, added, met = [], [], []
+    while i or j:
+        if i and j and t.numbers[i - 1] == block[j - 1] and rows[i][j] == rows[i - 1][j - 1]:
+            i, j = i - 1, j - 1
+            met.append(i)
+        elif i and rows[i][j] == rows[i - 1][j] + _COST:
+            i -= 1
+            missing.append(t.words[i])
+        else:
+            j -= 1
+            added.append(stream.words[start + j])
+    missing, added = missing[::-1], added[::-1]
+    for _ in range(met[-1] if met else 0):
+        if start == 0 or stream.closed(start - 1) or stream.broken(start):
+            break
+        start -= 1
+        added.insert(0, stream.words[start])
+    for _ in range(len(t.words) - 1 - met[0] if met else 0):
+        if end == len(stream.words) or stream.closed(end - 1) or stream.broken(end) and not re.search(r"\d", stream.words[end]):
+            break
+        added.append(stream.words[end])
+        end += 1
+    return {"n_other": len(missing) + len(added), "missing": missing, "added": added}
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``licenses``, an array of (license, template, start, end, saving, n_other, missing, added), for every row.
 
-    Positions are code points of the block. Null, empty and cue-less texts have none. Of overlapping blocks the one
-    with fewer other words stays, of equally good ones the shorter, then the earlier. Rows are scanned one by one; the
-    table of templates is fixed and small, and an empty one finds nothing.
+    Positions are code points of the notice, from its first to its last word. Null, empty and cue-less texts have none.
+    Of overlapping notices the one with fewer other words stays, of equally good ones the shorter, then the earlier, then
+    the one that saves more. Rows are scanned one by one; the table of templates is fixed and small, and an empty one finds
+    nothing.
     """
     kind = "array<struct<license:string,template:int,start:int,end:int,saving:double,n_other:int,missing:array<string>,added:array<string>>>"
 
@@ -171,18 +254,16 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, id
 
 
 def _found(text: str | None, matcher: Matcher) -> list[dict]:
-    spans = blocks(text, matcher.longest)
-    spans = list(dict.fromkeys(x for start, end in spans for x in [(start, end), *sentences(text, start, end)]))
-    hits = []
-    for start, end in spans:
-        hit = matcher.match(text[start:end])
-        if hit:
-            hits.append({**hit, "start": start, "end": end})
+    if not text or not _MAYBE.search(text):
+        return []
     out: list[dict] = []
-    for hit in sorted(hits, key=lambda h: (h["n_other"], h["end"] - h["start"], h["start"])):
-        if all(hit["end"] <= o["start"] or hit["start"] >= o["end"] for o in out):
-            out.append(hit)
-    return sorted(out, key=lambda h: h["start"])
+    starts: list[int] = []
+    for hit in sorted(matcher.matches(matcher.stream(text)), key=lambda h: (h["n_other"], h["end"] - h["start"], h["start"], -h["saving"])):
+        at = bisect(starts, hit["start"])
+        if (at == 0 or out[at - 1]["end"] <= hit["start"]) and (at == len(out) or hit["end"] <= out[at]["start"]):
+            out.insert(at, hit)
+            starts.insert(at, hit["start"])
+    return out
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,6 +105,23 @@ def test_licenses_are_confirmed_by_wording(spark, docs):
     assert all(r.licenses == [] for r in licenses.scan(docs(texts), templates=()).collect())
 
 
+def test_licenses_over_line_ends_and_before_their_cue(spark, docs):
+    mpl, apache, bsd = licenses.TEMPLATES[10][1], licenses.TEMPLATES[4][1], licenses.TEMPLATES[11][1]
+    wrap = lambda text, n, mark: "\n".join(mark + " ".join(text.split()[i:i + n]) for i in range(0, len(text.split()), n))
+    texts = ["// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n"
+             "// file, You can obtain one at https://mozilla.org/MPL/2.0/.\nint x;", "This work is dedicated\nto the public domain.\nMore.", "dedicated. This work is dedicated to the public\n * domain.",
+             "x = 1\nLicensed under the Apache License,\nVersion 2.0.\nAnd other words that go on and on, without a break.", "Licensed under CC\nBY 4.0.", "Licensed under CC BY 3.0.", "Licensed under CC BY\n3.0.",
+             "Licensed under the Apache License, Version 1.1.", "ALL RIGHTS\nRESERVED.", "All\n\n# rights reserved. " + "The licence of it. " * 3000 + "All rights reserved."]
+    texts += [wrap(t, n, mark) for t in (mpl, apache, bsd) for n in (1, 3, 7) for mark in ("", "# ", " * ", "#")]
+    got = by_id(licenses.scan(docs(texts)))
+    names = {i: [x.license for x in r.licenses] for i, r in got.items()}
+    want = [["MPL-2.0"], ["public-domain"], ["public-domain"], ["Apache-2.0"], ["CC-BY-4.0"], [], [], [], ["all-rights-reserved"], ["all-rights-reserved"] * 2]
+    want += [[x] for x in ("MPL-2.0", "Apache-2.0", "BSD") for _ in range(12)]
+    assert names == dict(enumerate(want))
+    assert all(x.n_other == 0 for r in got.values() for x in r.licenses)
+    assert texts[3][got[3].licenses[0].start:got[3].licenses[0].end] == "Licensed under the Apache License,\nVersion 2.0."
+
+
 # language ID
 
 def test_kneser_ney_probabilities_sum_to_one():
