@@ -46,9 +46,10 @@ class Automaton:
         self.link, self.length = [-1], [0]
         self.shortest = window  # words of the shortest item, up to the window
         self._ends: list[tuple[int, str]] = []
-        self._texts: list[tuple[str, list[int]]] = []
+        self._texts: list[tuple[str | None, list[int]]] = []
 
-    def add(self, item: str, words: list[bytes]) -> None:
+    def add(self, item: str | None, words: list[bytes]) -> None:
+        """``None`` is the key of all items without an id."""
         numbers = [self.numbers.setdefault(w, len(self.numbers)) for w in words]
         last = 0
         for c in numbers:
@@ -88,7 +89,7 @@ class Automaton:
 
     def finish(self) -> Automaton:
         """Note for every state the items whose window (or whole short text) ends there."""
-        self.owners: dict[int, set[str]] = {}
+        self.owners: dict[int, set[str | None]] = {}
         self.short: dict[int, int] = {}  # state of a short item's whole text: its words
         for item, numbers in self._texts:
             n = min(self.window, len(numbers))
@@ -128,8 +129,8 @@ class Automaton:
             state = self.link[state]
         return state
 
-    def scan(self, words: list[bytes]) -> tuple[list[list[int]], set[str]]:
-        """Hit stretches (first word, word behind the last) in order and apart, and the items found."""
+    def scan(self, words: list[bytes]) -> tuple[list[list[int]], set[str | None]]:
+        """Hit stretches (first word, word behind the last) in order and apart, and the items found, None for those without an id."""
         get = self.numbers.get
         numbers = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
         known = np.concatenate(([False], numbers >= 0, [False]))
@@ -137,7 +138,7 @@ class Automaton:
         starts, ends = edges[::2], edges[1::2]
         long = ends - starts >= self.shortest
         spans: list[list[int]] = []
-        items: set[str] = set()
+        items: set[str | None] = set()
         for start, end in zip(starts[long].tolist(), ends[long].tolist()):
             self._scan_run(start, numbers[start:end].tolist(), spans, items)
         return spans, items
@@ -174,7 +175,7 @@ def automata(benchmark: DataFrame, id_col: str, text_col: str, window: int, bloc
     block, n = Automaton(window), 0
     for item, text in benchmark.select(F.col(id_col).cast("string"), text_col).orderBy(id_col, text_col).toLocalIterator():
         words = words_of(text)
-        if not words or item is None:
+        if not words:
             continue
         block.add(item, words)
         n += len(words)
@@ -187,16 +188,17 @@ def automata(benchmark: DataFrame, id_col: str, text_col: str, window: int, bloc
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
               item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``id_col``, ``text_col``, ``n_words bigint``, ``spans array<array<int>>`` (in words), ``items array<string>``.
+    """``id_col``, ``text_col``, ``n_words bigint``, ``spans array<array<int>>`` (in words), ``items array<string>``, ``no_id boolean``.
 
     One row per document row. Null and empty texts have no words and no hits; so has everything if there are
-    no items. Items without a word or an id are passed over; equal items are all found.
+    no items. Items without a word are passed over; equal items are all found. Items with a null id make hits as all
+    others do; they are not listed in ``items``, ``no_id`` says that one was found.
     """
     spark = docs.sparkSession
     id_type = ddl_type(docs, id_col)
     out = docs.select(id_col, text_col, F.lit(None).cast("bigint").alias("n_words"), F.array().cast("array<array<int>>").alias("spans"),
-                      F.array().cast("array<string>").alias("items"))
-    schema = f"{id_col} {id_type}, {text_col} string, n_words bigint, spans array<array<int>>, items array<string>"
+                      F.array().cast("array<string>").alias("items"), F.lit(False).alias("no_id"))
+    schema = f"{id_col} {id_type}, {text_col} string, n_words bigint, spans array<array<int>>, items array<string>, no_id boolean"
     first = True
     for block in list_or_empty(automata(benchmark, item_id, item_text, window, block_words), window):
         if not first:
@@ -217,15 +219,17 @@ def list_or_empty(blocks: Iterable[Automaton], window: int) -> Iterator[Automato
 
 def _scanner(automaton):
     def rows(columns):
-        ids, texts, _, spans, items = columns
-        scan, counts, all_spans, all_items = automaton.value.scan, [], [], []
-        for text, old_spans, old_items in zip(texts, spans, items):
+        ids, texts, _, spans, items, no_ids = columns
+        scan, counts, all_spans, all_items, all_no_ids = automaton.value.scan, [], [], [], []
+        for text, old_spans, old_items, old_no_id in zip(texts, spans, items, no_ids):
             words = words_of(text)
             new_spans, new_items = scan(words)
             counts.append(len(words))
             all_spans.append(_merged(old_spans + new_spans) if old_spans else new_spans)
+            all_no_ids.append(old_no_id or None in new_items)
+            new_items.discard(None)
             all_items.append(sorted(new_items.union(old_items)))
-        return [ids, texts, counts, all_spans, all_items]
+        return [ids, texts, counts, all_spans, all_items, all_no_ids]
 
     return rows
 
@@ -280,8 +284,9 @@ def cut_text(text: str, spans: list[list[int]]) -> str:
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``n_items`` counts the listed ids, and all found items with a null id as one more; the digest is of the listed ids."""
     hits = find_hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return hits.select("doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+    return hits.select("doc_id", "n_words", n_hit().alias("n_hit"), (F.size("items") + F.col("no_id").cast("int")).cast("bigint").alias("n_items"),
                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 

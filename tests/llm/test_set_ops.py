@@ -220,6 +220,26 @@ def test_decontamination(spark, docs, block_words):
     assert {i: (r.n_words, r.n_hit, r["items"]) for i, r in got.items()} == want
 
 
+@pytest.mark.parametrize("block_words", [10**6, 3])
+def test_items_without_an_id_make_hits(spark, docs, tmp_path, block_words):
+    items = [(None, "one two three four five six seven eight nine ten eleven"), (None, "red green"), (1, "red green"), (2, "blue sky at noon"), (None, None)]
+    texts = ["Before. One two three four five six seven eight nine ten eleven! After" + " word" * 20, "a red green b", "one two three blue sky at noon", "nothing", None]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = by_id(decontaminate.find_hits(docs(texts), bench, block_words=block_words).withColumn("n_hit", decontaminate.n_hit()))
+    assert {i: (r.n_hit, r["items"], r.no_id) for i, r in got.items()} == {0: (11, [], True), 1: (2, ["1"], True), 2: (4, ["2"], False), 3: (0, [], False), 4: (0, [], False)}
+    left = by_id(decontaminate.remove_spans(docs(texts), bench, block_words=block_words))
+    assert left[0].text == "Before. ! After" + " word" * 20
+    docs(texts).write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    cur = con.execute(entry.oracle_sql()["op10_decontaminate"])
+    cols = [d[0] for d in cur.description]
+    df = entry.queries()["op10_decontaminate"](spark, str(tmp_path))
+    assert rows_of(df.columns, df.collect()) == rows_of(cols, cur.fetchall())
+
+
 def test_removed_spans_leave_the_rest_as_it_was(spark, docs):
     item = "one two three four five six seven eight nine ten eleven"
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
