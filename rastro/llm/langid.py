@@ -9,7 +9,11 @@ letter is chosen.
 
 Rejection is calibrated on labelled documents that the fit has not seen, and on the same documents with their
 letters shuffled: a text is rejected where its entropy is nearer to shuffled letters than to its language,
-with an allowance for short texts.
+with an allowance for short texts. Every language has a limit: one with fewer than ``LEAST_CALIBRATED`` rightly
+predicted documents for the calibration takes it from its own documents of the fit. Their entropy is that of the words
+which a model of the other half of the words gives, and so an upper bound of what new texts of the language have; it is
+held against the same documents with their letters shuffled, and counts as theirs at most. The deviation of
+single texts is then that of all calibrated languages together.
 
 The classifier is fitted on a bounded sample: about ``SAMPLE`` documents of each label for the fit and a
 third of that for the calibration, picked by a hash of the id. That bounds what reaches the driver, and the model
@@ -21,6 +25,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +38,8 @@ SAMPLE = 3000
 UNKNOWN = "und"
 #: Standard deviations of a text's length that its entropy may be above the limit.
 ALLOWANCE = 3.0
+#: Rightly predicted calibration documents from which on a language's limit and deviation are its own.
+LEAST_CALIBRATED = 20
 #: Labels from which on the training table is refused.
 MOST_LANGUAGES = 2000
 #: Words a task remembers the scores of; when full, it starts anew.
@@ -103,7 +110,9 @@ class Model:
         return np.add.reduceat(self.of_grams(codes), np.cumsum(sizes) - sizes, axis=0)
 
     def rejects(self, lang: str, entropy: float, n: int) -> bool:
-        limit, per_letter = self.limits.get(lang, (np.inf, 0))
+        if not self.limits:
+            return False  # scoring for the calibration itself, which sets one for every language
+        limit, per_letter = self.limits[lang]
         return entropy > limit + ALLOWANCE * (per_letter / n) ** 0.5
 
 
@@ -135,10 +144,15 @@ def _language(codes: np.ndarray, counts: np.ndarray, order: int, letters_known:
     return levels[::-1]
 
 
-def fit(counted: dict[str, tuple[np.ndarray, np.ndarray]], order: int) -> Model:
-    """The model of {language: (gram code points, counts)}."""
+def _known(counted: dict[str, tuple[np.ndarray, np.ndarray]]) -> int:
+    """Different letters, the word's end and one for all others included."""
+    return len(np.unique(np.concatenate([c[:, -1] for c, _ in counted.values()]))) + 1
+
+
+def fit(counted: dict[str, tuple[np.ndarray, np.ndarray]], order: int, known: int | None = None) -> Model:
+    """The model of {language: (gram code points, counts)}, without limits of rejection."""
     langs = sorted(counted)
-    known = len(np.unique(np.concatenate([c[:, -1] for c, _ in counted.values()]))) + 1
+    known = known or _known(counted)
     levels = {lang: _language(*counted[lang], order, known) for lang in langs}
     unseen = np.full(len(langs), np.log(1.0 / known), dtype=np.float32)
     model = Model(langs, order, [np.empty(0, np.uint64)], [np.empty((0, len(langs)), np.float32)], [np.empty(0, np.uint64)], [np.empty((0, len(langs)), np.float32)], unseen, {})
@@ -169,6 +183,8 @@ def fit(counted: dict[str, tuple[np.ndarray, np.ndarray]], order: int) -> Model:
 
 
 def _gram_counts(order: int):
+    """Rows of (text, lang) to (lang, half of the words, gram, n); all of one word are in one half."""
+
     def rows(columns):
         words: dict[str, Counter] = {}
         for text, lang in zip(*columns):
@@ -177,13 +193,31 @@ def _gram_counts(order: int):
         for lang, counter in words.items():
             for word, count in counter.items():
                 padded = _LEFT * (order - 1) + word + _RIGHT
+                half = crc32(word.encode("utf-8", "surrogatepass")) % 2
                 for i in range(len(word) + 1):
-                    out[lang, padded[i:i + order]] += count
-        return [[k[0] for k in out], [k[1] for k in out], list(out.values())]
+                    out[lang, half, padded[i:i + order]] += count
+        return [[k[0] for k in out], [k[1] for k in out], [k[2] for k in out], list(out.values())]
 
     return rows
 
 
+def _counts_of(grams, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(gram code points, counts) of rows of (gram, n)."""
+    codes = np.frombuffer("".join(grams["gram"]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(-1, order)
+    return codes, grams["n"].to_numpy(dtype=np.float64)
+
+
+def _of_other_half(halves: list[tuple[np.ndarray, np.ndarray]], order: int, known: int) -> float:
+    """Entropy a letter of each half of a language's words in a model of the other half; infinite where there are no two halves."""
+    if len(halves) < 2:
+        return np.inf
+    total = letters_in = 0.0
+    for mine, other in (halves, halves[::-1]):
+        total -= float((fit({"": other}, order, known).of_grams(mine[0])[:, 0] * mine[1]).sum(dtype=np.float64))
+        letters_in += float(mine[1].sum())
+    return total / letters_in
+
+
 def _shuffled(texts: list[str | None]) -> list[str]:
     """The texts' letters in another order, in words of the same lengths."""
     out = []
@@ -208,27 +242,59 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         return None
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, 1_000_000 * sample * 4 / 3 / n)])
     drawn = rows.where(F.col("draw") < share[F.col("lang")]).select("text", "lang", (F.col("draw") % 4 == 0).alias("calibrate"))
-    grams = (map_rows(drawn.where(~F.col("calibrate")).select("text", "lang"), "lang string, gram string, n bigint", _gram_counts(order))
-             .groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy("lang", "gram").toPandas())
-    counted = {}
-    for lang, group in grams.groupby("lang", sort=True):
-        codes = np.frombuffer("".join(group["gram"]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(-1, order)
-        counted[lang] = (codes, group["n"].to_numpy(dtype=np.float64))
+    fitted = drawn.where(~F.col("calibrate")).select("text", "lang")
+    grams = map_rows(fitted, "lang string, half int, gram string, n bigint", _gram_counts(order))
+    table = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy("lang", "gram").toPandas()
+    counted = {lang: _counts_of(group, order) for lang, group in table.groupby("lang", sort=True)}
     if not counted:
         return None
     model = fit(counted, order)
     held = drawn.where("calibrate").select("text", "lang")
     own = score(held, model, "lang", "text").where("n_letters > 0 and lang = lang_pred").select("lang", "entropy", "n_letters").toPandas()
     mixed = score(held, model, "lang", "text", shuffled=True).where("n_letters > 0").select("lang", "entropy").toPandas()
+    spread: list[float] = []
     for lang in model.langs:
-        real, noise = own[own["lang"] == lang], mixed[mixed["lang"] == lang]["entropy"]
-        if len(real) >= 20 and noise.median() > real["entropy"].median():
+        real, noise = own[own["lang"] == lang], mixed[mixed["lang"] == lang]["entropy"].median()
+        if len(real) >= LEAST_CALIBRATED:
             mean = real["entropy"].median()
-            per_letter = float(((real["entropy"] - mean) ** 2 * real["n_letters"]).median() * 2.2)  # of a normal law, the median square is 0.45 variances
-            model.limits[lang] = (float((mean + noise.median()) / 2), max(1.0, per_letter))
+            residuals = ((real["entropy"] - mean) ** 2 * real["n_letters"]).tolist()
+            spread += residuals
+            # Where shuffled letters are no stranger than texts, the strangest text is the limit.
+            model.limits[lang] = (float((mean + noise) / 2 if noise > mean else real["entropy"].max()), _per_letter(residuals))
+    rare = [lang for lang in model.langs if lang not in model.limits]
+    if rare:
+        few = F.col("lang").isin(rare)
+        noises = _shuffled_entropies(fitted.where(few), model)
+        table = grams.where(few).groupBy("lang", "half", "gram").agg(F.sum("n").alias("n")).orderBy("lang", "half", "gram").toPandas()
+        for lang, group in table.groupby("lang", sort=True):
+            real = _of_other_half([_counts_of(half, order) for _, half in group.groupby("half", sort=True)], order, _known(counted))
+            model.limits[lang] = ((min(real, noises[lang]) + noises[lang]) / 2, _per_letter(spread))
     return model
 
 
+def _per_letter(residuals: list[float]) -> float:
+    """Variance of one letter's entropy; of a normal law, the median square is 0.45 variances."""
+    return max(1.0, float(np.median(residuals)) * 2.2) if residuals else 1.0
+
+
+def _shuffled_entropies(texts: DataFrame, model: Model) -> dict[str, float]:
+    """Entropy a letter of each label's texts with their letters shuffled, in the label's own language."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def rows(columns):
+        at = {lang: i for i, lang in enumerate(shared.value.langs)}
+        nats, counts = [], []
+        for text, lang in zip(_shuffled(columns[0]), columns[1]):
+            words = letters(text)
+            parts = [words[i:i + 2000] for i in range(0, len(words), 2000)]
+            nats.append(-sum(float(shared.value.of_words(p)[:, at[lang]].sum(dtype=np.float64)) for p in parts))
+            counts.append(sum(map(len, words)) + len(words))
+        return [columns[1], nats, counts]
+
+    of_texts = map_rows(texts, "lang string, nats double, n bigint", rows)
+    return {r["lang"]: r["nats"] / r["n"] for r in of_texts.groupBy("lang").agg(F.sum("nats").alias("nats"), F.sum("n").alias("n")).collect()}  # one row a label
+
+
 class _Scorer:
     def __init__(self, model: Model | None):
         self.model, self.rows, self.table = model, {}, None

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -169,6 +170,32 @@ def test_language_of_odd_texts(spark, docs):
     assert kept.columns == labelled.columns and {r.doc_id for r in kept.collect()} == set(range(240))
 
 
+@pytest.mark.parametrize("n_large, n_rare", [(120, 1), (120, 6), (120, 30), (8, 3)])
+def test_language_of_few_documents_rejects_too(spark, docs, n_large, n_rare):
+    rng = random.Random(n_rare)
+
+    def word(syllables, ends):
+        return "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) + rng.choice(ends)
+
+    def lexicon(syllables, ends):
+        return [word(syllables, ends) for _ in range(300)]
+
+    kinds = {"aa": lexicon(["the", "wa", "ter", "ing", "con", "st"], ["s", "ed", "er"]), "bb": lexicon(["le", "mai", "son", "eau", "qu"], ["e", "es", "ant"]), "rr": lexicon(["ka", "uu", "tal", "ois", "mi"], ["n", "ssa", "lla"])}
+    text = lambda kind, n=80: " ".join(rng.choice(kinds[kind]) for _ in range(n))
+    labels = ["aa", "bb"] * n_large + ["rr"] * n_rare
+    model = langid.train(docs([text(k) for k in labels], lang=labels))
+    assert "rr" in model.langs and set(model.limits) == set(model.langs)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 12))) for _ in range(n)) for n in (30, 60, 200, 1000) * 5]
+    foreign = [" ".join("".join(rng.choice("жзийклмнопрст") for _ in range(7)) for _ in range(50))]
+    got = by_id(langid.score(docs(noise + foreign), model))
+    assert all(r.rejected for r in got.values())
+    real = by_id(langid.score(docs([text(k) for k in ("aa", "bb", "rr") * 20]), model))
+    assert not any(r.rejected for r in real.values()) and {r.lang_pred for r in real.values()} == {"aa", "bb", "rr"}
+    # gibberish is rejected where it lands in the rare language as well
+    limit, per_letter = model.limits["rr"]
+    assert np.isfinite(limit) and model.rejects("rr", limit + 4 * per_letter**0.5, 1) and not model.rejects("rr", limit, 100)
+
+
 # quality rules
 
 def brute_repeated(words, n=8):
