@@ -46,7 +46,7 @@ def map_rows(df: DataFrame, schema: str, fn: Callable[[list], list], setup: Call
     Python lists (or as Arrow or numpy arrays on the way out). No row is kept between slices.
     """
     ship(df.sparkSession)
-    arrow_schema = _arrow_schema(df.sparkSession, schema)
+    target = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # many small objects, no cycles
@@ -56,8 +56,8 @@ def map_rows(df: DataFrame, schema: str, fn: Callable[[list], list], setup: Call
                 for part in slices(batch):
                     columns = [c.to_pylist() for c in part.columns]
                     out = fn(columns, state) if setup else fn(columns)
-                    arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(out, arrow_schema)]
-                    yield pa.RecordBatch.from_arrays(arrays, schema=arrow_schema)
+                    arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(out, target)]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=target)
         finally:
             state = None
             gc.enable()
@@ -86,7 +86,7 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch
 
 
-def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return to_arrow_schema(spark.createDataFrame([], schema).schema)
