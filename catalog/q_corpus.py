@@ -18,9 +18,9 @@ DOC_LINES = f"""dl AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id OR
   generate_subscripts(string_split_regex(text, '{_BREAK}'), 1) AS i FROM documents) a) b WHERE line <> ''),
 nl AS (SELECT *, {Q.norm_text('line')} AS norm FROM dl)"""
 
-query("text_lines", f"WITH {DOC_LINES} SELECT doc_id, line_no, line FROM dl")(lambda db: corpus.lines(db.base("documents")))
+query("text_lines", f"WITH {DOC_LINES} SELECT doc_id, line_no, line FROM dl")(lambda db: corpus.lines(db.base("documents"), db.parts))
 query("text_normalized", f"WITH {DOC_LINES} SELECT doc_id, line_no, norm FROM nl")(
-    lambda db: corpus.lines(db.base("documents")).select("doc_id", "line_no", X.normalize_text("line").alias("norm")))
+    lambda db: corpus.lines(db.base("documents"), db.parts).select("doc_id", "line_no", X.normalize_text("line").alias("norm")))
 query("text_keys", f"SELECT doc_id, {Q.norm_key('text')} AS key FROM documents")(
     lambda db: db.base("documents").select("doc_id", X.norm_key("text").alias("key")))
 query("text_clean", f"SELECT doc_id, {Q.clean('text')} AS cleaned FROM documents")(
@@ -85,7 +85,7 @@ _RL = f"rl AS (SELECT doc_id, line_no, line, {Q.norm_text('line')} AS norm FROM
 query("line_rules_report_lines", f"WITH {_RL} SELECT doc_id, line_no, {_RULES}, line_no = 900 AS is_section FROM rl")(
     lambda db: corpus.classified(db.view("report_lines")).select("doc_id", "line_no", "is_finding", "is_other", "is_proposal", "is_section"))
 query("line_rules_documents", f"WITH {DOC_LINES} SELECT doc_id, line_no, {_RULES} FROM nl")(
-    lambda db: corpus.classified(corpus.lines(db.base("documents"))).select("doc_id", "line_no", "is_finding", "is_other", "is_proposal"))
+    lambda db: corpus.classified(corpus.lines(db.base("documents"), db.parts)).select("doc_id", "line_no", "is_finding", "is_other", "is_proposal"))
 
 # --- Findings and proposals of a line table ------------------------------------------------------------
 
@@ -130,7 +130,7 @@ _BLOCKS = f"""WITH RECURSIVE {DOC_LINES},
    UNION ALL SELECT v.doc_id, v.k, v.line, CASE WHEN w.size >= 300 THEN w.blk + 1 ELSE w.blk END, CASE WHEN w.size >= 300 THEN length(v.line) ELSE w.size + length(v.line) END
    FROM walk w JOIN v ON v.doc_id = w.doc_id AND v.k = w.k + 1)
  SELECT doc_id, blk::BIGINT AS number, substr(arg_min(line, k), 1, 90) AS title, string_agg(line, ' ' ORDER BY k) AS text FROM walk GROUP BY doc_id, blk"""
-query("paragraph_blocks", _BLOCKS)(lambda db: corpus.paragraph_blocks(db.base("documents")).select("doc_id", "number", "title", "text"))
+query("paragraph_blocks", _BLOCKS)(lambda db: corpus.paragraph_blocks(db.base("documents"), parts=db.parts).select("doc_id", "number", "title", "text"))
 query("corpus_findings")(lambda db: corpus.parse_documents(db.view("report_texts")).findings)
 query("corpus_proposals")(lambda db: corpus.parse_documents(db.view("report_texts")).finding_proposals)
 query("corpus_routes", f"""WITH c AS (SELECT CASE WHEN doc_id % 4 = 1 THEN 'heading' WHEN doc_id % 4 = 2 THEN 'table' ELSE 'paragraph' END AS route, doc_id FROM documents)

@@ -297,6 +297,11 @@ class Db:
     def t(self) -> Tables:
         return Tables.of(**{n: self.view(n) for n in ENTITIES})
 
+    @property
+    def parts(self) -> int:
+        """Tasks that texts are dealt to."""
+        return self.spark.sparkContext.defaultParallelism
+
     @property
     def cut(self) -> Column:
         return F.lit(CUT)

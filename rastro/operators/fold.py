@@ -17,6 +17,10 @@ from rastro.functions.status import normalize_status
 from rastro.operators.blocks import numbered
 from rastro.session import settle
 
+# Columns a change log may carry besides plan_id and change_no.
+CHANGE_COLUMNS = {"status": "string", "progress_pct": "int", "notes": "string", "target_date": "string",
+                  "evidence_file": "string", "action_owner": "string", "confirm_finalize": "boolean"}
+
 _OPEN, _SUSPENDED, _PENDING, _DONE = range(4)
 _PLAIN = ("target_date", "evidence_file", "action_owner")
 _TYPE = "struct<entries:array<struct<s:int,p:int,pend:boolean,open:boolean>>,notes:string>"
@@ -47,13 +51,17 @@ def _entry(now: int, full: bool, c: Column) -> Column:
                     (status != _DONE).alias("open"))
 
 
-def _bare(changes: DataFrame) -> DataFrame:
-    """plan_id, change_no and what a change asks for."""
+def bare_change() -> Column:
+    """What a change (a row with ``CHANGE_COLUMNS``) asks for."""
     asked = F.when(F.col("status").isNotNull(), status_index("status"))
     pct = F.greatest(F.lit(0), F.least(F.lit(100), F.col("progress_pct"))).cast("int")
-    change = F.struct(asked.alias("asked"), F.when(F.col("progress_pct").isNotNull(), pct).alias("pct"),
-                      F.coalesce("confirm_finalize", F.lit(False)).alias("confirmed"), F.col("notes").cast("string").alias("notes"))
-    return changes.select("plan_id", "change_no", change.alias("bare"), *_PLAIN)
+    return F.struct(asked.alias("asked"), F.when(F.col("progress_pct").isNotNull(), pct).alias("pct"),
+                    F.coalesce("confirm_finalize", F.lit(False)).alias("confirmed"), F.col("notes").cast("string").alias("notes"))
+
+
+def _bare(changes: DataFrame) -> DataFrame:
+    """plan_id, change_no and what a change asks for."""
+    return changes.select("plan_id", "change_no", bare_change().alias("bare"), *_PLAIN)
 
 
 def _table(c: Column) -> Column:
