@@ -131,15 +131,50 @@ _BLOCKS = f"""WITH RECURSIVE {DOC_LINES},
    FROM walk w JOIN v ON v.doc_id = w.doc_id AND v.k = w.k + 1)
  SELECT doc_id, blk::BIGINT AS number, substr(arg_min(line, k), 1, 90) AS title, string_agg(line, ' ' ORDER BY k) AS text FROM walk GROUP BY doc_id, blk"""
 query("paragraph_blocks", _BLOCKS)(lambda db: corpus.paragraph_blocks(db.base("documents"), parts=db.parts).select("doc_id", "number", "title", "text"))
-query("corpus_findings")(lambda db: corpus.parse_documents(db.view("report_texts")).findings)
-query("corpus_proposals")(lambda db: corpus.parse_documents(db.view("report_texts")).finding_proposals)
+_DL = DOC_LINES.replace("FROM documents", "FROM report_texts")
+_CUT_500 = """sm AS (SELECT k, t, unnest(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS x,
+   generate_subscripts(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), 1) AS i FROM long_texts),
+ sc AS (SELECT *, sum(length(x) + 1) OVER (PARTITION BY k ORDER BY i) AS run FROM sm WHERE x <> ''),
+ sk AS (SELECT k, string_agg(x, ' ' ORDER BY i) AS kept FROM sc WHERE run <= 500 GROUP BY k),
+ short AS (SELECT k, CASE WHEN length(t) <= 500 THEN t ELSE coalesce(kept, substr(t, 1, 500)) END AS s FROM long_texts LEFT JOIN sk USING (k))"""
+_PARSED = f"""{_DL}, marks AS (SELECT doc_id, min(line_no) FILTER (WHERE line = 'Hallazgo 1: pagos sin doble firma') AS h1, max(line_no) FILTER (WHERE line = 'Hallazgo 5: ' || doc_id) AS h5,
+   max(line_no) FILTER (WHERE line = '7. PROPUESTAS DE MEJORA') AS sec FROM dl WHERE doc_id % 4 = 1 GROUP BY 1),
+ body AS (SELECT doc_id, string_agg(line, ' ' ORDER BY line_no) FILTER (WHERE line_no > h1 AND line_no < h5) AS first_body,
+   string_agg(CASE WHEN line_no = h5 + 2 THEN trim(regexp_replace(line, '^Recomendación:\\s*', '')) ELSE line END, ' ' ORDER BY line_no) FILTER (WHERE line_no >= h5 + 2 AND line_no < sec) AS own,
+   max(line) FILTER (WHERE line_no = h5 - 1) AS prev FROM dl JOIN marks USING (doc_id) GROUP BY 1),
+ cells AS (SELECT doc_id, line_no, line, list_transform(string_split(line, '|'), lambda c: trim(c)) AS c FROM dl WHERE doc_id % 4 = 2 AND line_no > 1 AND contains(line, '|') AND NOT starts_with(line, '===')),
+ cell AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS number FROM cells WHERE length(c[2]) >= 3
+   AND {Q.norm_text('c[2]')} NOT IN ('hallazgo', 'hallazgos', 'situacion', 'situacion observada', 'descripcion del hallazgo')),
+ v AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM nl WHERE doc_id % 4 IN (0, 3) AND length(line) > 15 AND NOT (strpos(norm, 'solapa:') = 0 AND norm NOT LIKE '===%'
+   AND (regexp_matches(norm, '(?:^|\\d+[\\. ]+)(?:{_OTHER})s?\\s*[:.]?\\s*$') OR regexp_matches(norm, '^(?:{_OTHER})[:. ]*$')))),
+ walk AS (SELECT doc_id, k, line, 1 AS blk, length(line) AS size FROM v WHERE k = 1
+   UNION ALL SELECT v.doc_id, v.k, v.line, CASE WHEN w.size >= 300 THEN w.blk + 1 ELSE w.blk END, CASE WHEN w.size >= 300 THEN length(v.line) ELSE w.size + length(v.line) END
+   FROM walk w JOIN v ON v.doc_id = w.doc_id AND v.k = w.k + 1),
+ blocks AS (SELECT doc_id, blk::BIGINT AS number, substr(arg_min(line, k), 1, 90) AS title, string_agg(line, ' ' ORDER BY k) AS t FROM walk GROUP BY doc_id, blk),
+ raw AS (SELECT doc_id, 1::BIGINT AS number, 1::BIGINT AS source_number, NULL AS code, 'Pagos sin doble firma' AS title, 'Pagos sin doble firma' AS long, 'Fallback (title)' AS situation_source, '' AS risk, 'Alto' AS severity,
+   'Sector ' || doc_id % 7 AS area, '' AS proposal, 'Hallazgo 1: pagos sin doble firma' || chr(10) || first_body AS source_text FROM body
+  UNION ALL SELECT doc_id, 2, 5, NULL, doc_id::VARCHAR, 'Resumen: se revisó la muestra completa.', 'Fallback (summary)', '', CASE {_sev(Q.norm_text("prev || ' Hallazgo 5: ' || doc_id || ' Resumen: se revisó la muestra completa.'"))}
+   WHEN 'Medio' THEN {_sev(Q.norm_text("prev || ' Hallazgo 5: ' || doc_id"))} ELSE {_sev(Q.norm_text("prev || ' Hallazgo 5: ' || doc_id || ' Resumen: se revisó la muestra completa.'"))} END,
+   'Sector ' || doc_id % 7, own, 'Hallazgo 5: ' || doc_id || chr(10) || 'Resumen: se revisó la muestra completa.' || CASE WHEN own <> '' THEN chr(10) || 'Propuesta / recomendación original:' || chr(10) || own ELSE '' END FROM body
+  UNION ALL SELECT doc_id, number, number, NULL, substr(c[2], 1, 100), c[2], 'Fallback (summary)', coalesce(c[3], ''), CASE WHEN coalesce(c[3], '') = '' THEN 'Medio' ELSE {_sev(Q.norm_text('c[3]'))} END,
+   coalesce(nullif(c[5], ''), 'Operaciones'), coalesce(c[4], ''), c[2] || CASE WHEN coalesce(c[4], '') <> '' THEN chr(10) || 'Propuesta / recomendación original:' || chr(10) || c[4] ELSE '' END FROM cell
+  UNION ALL SELECT doc_id, number, number, NULL, title, t, 'Fallback heurístico (Párrafos)', '', 'Medio', 'Operaciones', '', t FROM blocks),
+ keyed AS (SELECT *, row_number() OVER (ORDER BY doc_id, number) AS id FROM raw),
+ long_texts AS (SELECT 2 * id AS k, long AS t FROM keyed UNION ALL SELECT 2 * id + 1, proposal FROM keyed),
+ {_CUT_500}, found AS (SELECT keyed.*, a.s AS situation, CASE WHEN doc_id % 4 = 1 THEN b.s ELSE proposal END AS own FROM keyed JOIN short a ON a.k = 2 * id JOIN short b ON b.k = 2 * id + 1)"""
+query("corpus_findings", f"""WITH RECURSIVE {_PARSED} SELECT doc_id, number, source_number, substr(md5('doc-' || doc_id || '.txt_' || number || '_' || title), 1, 12) AS source_key, 'doc-' || doc_id || '.txt' AS source_file,
+  CASE WHEN doc_id % 4 IN (0, 3) THEN 'Párrafo / Bloque ' ELSE 'Sección / Fila ' END || number AS source_location, coalesce(code, 'H-2026-' || printf('%03d', source_number)) AS code, {Q.clean('title')} AS title, situation,
+  situation_source, risk, severity, area AS responsible_area, 'Pendiente de definir' AS action_owner, 'Pendiente' AS status, '' AS observations, '' AS cause, '' AS impact, source_text FROM found""")(lambda db: corpus.parse_documents(db.view("report_texts"), db.parts).findings)
+query("corpus_proposals", f"""WITH RECURSIVE {_PARSED} SELECT doc_id, number, CASE WHEN linked THEN 1 END::BIGINT AS proposal_number, CASE WHEN linked THEN 'Configurar la firma conjunta (Hallazgo 1).' ELSE trim(own) END AS proposal_text,
+  severity, area AS responsible_area, 'Pendiente de definir' AS action_owner, CASE WHEN linked THEN 'Configurar la firma conjunta (Hallazgo 1).' ELSE proposal END AS source_text, 'Pendiente' AS status
+  FROM (SELECT *, doc_id % 4 = 1 AND source_number = 1 AS linked FROM found) x WHERE linked OR own <> ''""")(lambda db: corpus.parse_documents(db.view("report_texts"), db.parts).finding_proposals)
 query("corpus_routes", f"""WITH c AS (SELECT CASE WHEN doc_id % 4 = 1 THEN 'heading' WHEN doc_id % 4 = 2 THEN 'table' ELSE 'paragraph' END AS route, doc_id FROM documents)
   SELECT route, count(DISTINCT doc_id) AS documents FROM c GROUP BY route""")(
-    lambda db: corpus.parse_documents(db.view("report_texts")).findings.groupBy(
+    lambda db: corpus.parse_documents(db.view("report_texts"), db.parts).findings.groupBy(
         F.when(F.col("situation_source").startswith("Fallback heur"), "paragraph").when(F.col("situation_source") == "Fallback (summary)", F.when(
             F.col("doc_id") % 4 == 2, "table").otherwise("heading")).otherwise("heading").alias("route")).agg(F.count_distinct("doc_id").alias("documents")))
 query("corpus_reports", """SELECT doc_id, 'doc-' || doc_id || '.txt' AS source_filename, CASE WHEN doc_id % 4 = 1 THEN 'Sector ' || doc_id % 7 WHEN doc_id % 4 = 2 THEN 'Tesorería' ELSE 'Operaciones' END AS area
-  FROM documents""")(lambda db: corpus.parse_documents(db.view("report_texts")).reports.select("doc_id", "source_filename", "area"))
+  FROM documents""")(lambda db: corpus.parse_documents(db.view("report_texts"), db.parts).reports.select("doc_id", "source_filename", "area"))
 
 # --- Scalar functions over the tables ------------------------------------------------------------------
 
