@@ -119,31 +119,47 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     together as one document below all others. Ids are integers. Without rows nothing comes out.
     """
     spark = docs.sparkSession
-    doc = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63)))
-    plain = docs.select(doc.alias("doc"), F.col(text_col).alias("text"))
+    doc, row = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    plain = docs.select(doc.alias("doc"), row.alias("row"), F.col(text_col).alias("text"))
     cuts = _boundaries(plain, batches)
     batch = sum([(F.col("doc") <= c).cast("int") for c in cuts], F.lit(0))  # 0 holds the largest ids
-    # Hashes of all lines, once: read by the batches, and again to find the lines that go.
+    # Hashes and places of all lines, once: counted by the batches, and read again to find the lines that go.
     folder = durable_dir(spark, "line-keys")
-    keys = F.array_distinct(F.filter(F.transform(lines_of(F.col("text")), lambda x: line_hash(x, min_chars)), lambda h: h.isNotNull()))
-    (plain.select("doc", batch.alias("batch"), F.explode(keys).alias("h")).select("doc", "batch", "h.h1", "h.h2")
+    placed = F.transform(lines_of(F.col("text")), lambda x, i: F.struct(i.alias("at"), line_hash(x, min_chars).alias("h")))
+    keys = plain.select("doc", "row", batch.alias("batch"), F.filter(placed, lambda p: p["h"].isNotNull()).alias("keys"))
+    # Distinct strings are counted by hashing, distinct structs pair by pair.
+    once = F.size(F.array_distinct(F.transform("keys", lambda p: F.concat_ws(":", p["h"]["h1"], p["h"]["h2"])))) == F.size("keys")
+    # A column of its own below the explosion, else every exploded row would carry all keys of its document.
+    (keys.withColumn("once", once).select("doc", "row", "batch", "once", F.explode("keys").alias("k")).select("doc", "row", "batch", "once", "k.at", "k.h.h1", "k.h.h2")
      .write.partitionBy("batch").parquet(folder))
-    lines = spark.read.schema("doc bigint, h1 bigint, h2 bigint, batch int").parquet(folder)
-    runs = LineRuns(spark, fan)
+    lines = spark.read.schema("doc bigint, row bigint, once boolean, at int, h1 bigint, h2 bigint, batch int").parquet(folder)
+    runs, repeat = LineRuns(spark, fan), _may_repeat(docs, id_col)
     for i in range(len(cuts) + 1):
-        runs.add(lines.where(F.col("batch") == i).select("doc", *_KEY).distinct() if _may_repeat(docs, id_col) else lines.where(F.col("batch") == i).select("doc", *_KEY))
+        mine = lines.where(F.col("batch") == i)
+        several = F.lit(True) if repeat else ~F.col("once")
+        runs.add(mine.where(~several).select("doc", *_KEY).unionByName(mine.where(several).select("doc", *_KEY).distinct()))
     common = runs.all().where(F.col("n_docs") >= min_docs).select(*_KEY, "keeper")
-    gone = (lines.select("doc", *_KEY).join(common, list(_KEY)).where(F.col("doc") != F.col("keeper"))
-            .groupBy("doc").agg(F.collect_set(F.struct(*_KEY)).alias("gone")))  # no more than the document has lines
-    place, mine, lost = (free_name(docs, n) for n in ("_doc", "_lines", "_gone"))
-    marked = docs.withColumn(place, doc).join(gone.select(F.col("doc").alias(place), F.col("gone").alias(lost)), place, "left")
-    kept = F.when(F.col(lost).isNull(), lines_of(F.col(text_col))).otherwise(
-        F.filter(lines_of(F.col(text_col)), lambda x: ~F.coalesce(F.array_contains(F.col(lost), line_hash(x, min_chars)), F.lit(False))))
-    out = marked.withColumn(mine, kept)
+    gone = (lines.select("doc", "row", "at", *_KEY).join(common, list(_KEY)).where(F.col("doc") != F.col("keeper"))
+            .groupBy("doc", "row").agg(F.array_sort(F.collect_set("at")).alias("gone")))  # no more than the document has lines
+    place, mark, lost = (free_name(docs, n) for n in ("_doc", "_row", "_gone"))
+    marked = docs.withColumn(place, doc).withColumn(mark, row).join(gone.select(F.col("doc").alias(place), F.col("row").alias(mark), F.col("gone").alias(lost)), [place, mark], "left")
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    text = F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(F.array_join(mine, "\n")).alias(text_col)
+    text = F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(F.array_join(_without(lines_of(F.col(text_col)), F.col(lost)), "\n")).alias(text_col)
     n_lines = F.size(lines_of(F.col(text_col))).cast("bigint")
-    return out.select(*[text if c == text_col else F.col(f"`{c}`") for c in rest], n_lines.alias("n_lines"), (n_lines - F.size(mine)).alias("n_dropped"))
+    n_dropped = F.when(F.col(lost).isNull(), 0).otherwise(F.size(lost)).cast("bigint")
+    return marked.select(*[text if c == text_col else F.col(f"`{c}`") for c in rest], n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+
+
+def _without(lines: Column, places: Column) -> Column:
+    """The stretches of lines between the places (from 0, ascending): every line is copied once, however many go."""
+    def kept(own: Column) -> Column:
+        def stretch(end: Column, i: Column) -> Column:
+            start = F.when(i == 0, F.lit(0)).otherwise(F.get(places, i - 1) + 1)
+            return F.slice(own, start + 1, end - start)
+        return F.flatten(F.transform(F.array_append(places, F.size(own)), stretch))
+
+    # The lines are an argument of the function, and so split once.
+    return F.transform(F.array(lines), kept)[0]
 
 
 def _may_repeat(docs: DataFrame, id_col: str) -> bool:
