@@ -85,11 +85,33 @@ def test_secret_models_add_spans_and_keep_the_base(spark, docs):
     assert [(s.kind, s.start, s.end) for s in got[0].spans] == [("markov", 4, 44)]
     assert got[1].spans == [] and got[3].spans == [] and got[4].spans == [] and got[5].spans == []
     assert [(s.kind, s.start, s.end) for s in got[2].spans] == brute_base(texts[2])
-    # too few samples: no models, the base stays
-    assert [(s.kind) for s in by_id(secrets.find_secrets(docs(texts)))[2].spans] == ["assign", "hex"]
+    # A tiny table has the seed's models: the same is found, twice where a row stands twice.
+    assert [r.spans for r in secrets.find_secrets(docs(texts + texts, ids=[*range(6), *range(6)])).orderBy("doc_id").collect()][::2] == [got[i].spans for i in range(6)]
     assert secrets.find_secrets(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_secrets_that_no_pattern_names_in_a_corpus(spark, docs):
+    """Planted random strings are found by the ratio alone, with models from the seed and the corpus; ordinary tokens stay."""
+    rng = random.Random(8)
+    planted = [v for v, label in secrets.seed_samples(60, seed=21) if label == 1 and not re.fullmatch(r"[0-9a-f]{24,}", v)]
+    calm = [v for v, label in secrets.seed_samples(300, seed=22) if label == 0]
+    texts = [f"see {rng.choice(calm)} then {v} and {rng.choice(calm)}" for v in planted] + [" ".join(rng.choices(calm, k=30)) for _ in range(40)]
+    got = by_id(secrets.find_secrets(docs(texts)))
+    hit = [any(s.kind == "markov" and s.value in v for s in got[i].spans) for i, v in enumerate(planted)]
+    extra = sum(len([s for s in r.spans if s.kind == "markov"]) for r in got.values()) - sum(hit)
+    assert sum(hit) >= 0.95 * len(planted) and extra <= 0.05 * len(planted)
+
+
+def test_secret_models_on_held_out_samples():
+    table = secrets._table(secrets.seed_counts(secrets.seed_samples()))
+    values, labels = zip(*secrets.seed_samples(2000, seed=99))
+    hit, label = secrets.is_random(table, list(values)), np.array(labels) == 1
+    assert (hit & label).sum() >= 0.99 * label.sum() and (hit & label).sum() >= 0.99 * hit.sum()
+    # The ratio decides: without it every long token would be a secret.
+    assert not hit[~label].any() or hit[~label].mean() < 0.01
+    assert np.allclose(secrets.ratios(table, ["abc123xyz", "x"]), [table[secrets.steps(v)].sum() for v in ("abc123xyz", "x")])
+
+
 # licenses
 
 def test_licenses_are_confirmed_by_wording(spark, docs):
