@@ -1,10 +1,10 @@
 """License scans by conditional compression.
 
-A text is one stream of words, over all its lines and without comment marks. For every template the stretches are
-sought that hold a cue and differ from the template by few words, wherever they begin: windows of the template's own
-length around the cues. Each is compressed with zstandard once plainly and once with the template as a raw dictionary;
-where enough of the size is saved, the exact differences in wording confirm it: words that the stretch lacks, has more,
-or has otherwise. Templates are a table of (name, text).
+A text is one stream of words, over all its lines and without comment marks. Candidate blocks are the surroundings of cues, as
+wide as the longest template. Each block is compressed with zstandard once plainly and once with every template as a raw
+dictionary; templates that save enough are ranked by the bytes they save. The exact differences in wording of the best one, or of
+several that save nearly the same, confirm it: words that the block lacks, has more, or has otherwise. What is confirmed leaves the
+block, and what is left of it is tried again. Templates are a table of (name, text).
 """
 
 from __future__ import annotations
@@ -49,6 +49,30 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("all-rights-reserved", "All rights reserved."),
     ("public-domain", "This work is dedicated to the public domain."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software "
+            "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+            "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
+            "substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+            "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER "
+            "IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code "
+                     "must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this "
+                     "list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS "
+                     "AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+                     "DISCLAIMED."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code "
+                     "must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this "
+                     "list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the "
+                     "names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE "
+                     "COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+                     "PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+             "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following "
+             "restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an "
+             "acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as "
+             "being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source "
+                  "code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
 
 #: A notice holds one of these, over line ends and comment marks as well.
@@ -60,8 +84,12 @@ _WORD = re.compile(r"\S+")
 _MARKS = "/*#%!<>|-;"
 _AROUND = ".,:()\"'" + _MARKS
 
-#: Saved part of the plainly compressed size, in per cent, from which on wordings are compared.
+#: Bytes a template must save of a block, in per cent of its own plainly compressed size, to be a candidate.
 LEAST_SAVING = 25
+#: Templates that save as many bytes but for these are told apart by their wording.
+NEAR = 8
+#: Words of a block; longer surroundings are cut into several that overlap.
+BLOCK_WORDS = 1024
 #: Words, in per cent of the template's, that may be missing, added or other in a confirmed block.
 MOST_OTHER_WORDS = 20
 
@@ -114,6 +142,8 @@ class Matcher:
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
         self.given = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(t.text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT),
                                                write_content_size=False, write_checksum=False, write_dict_id=False) for t in self.templates]
+        self.alone = [len(self.plain.compress(t.text.lower().encode())) for t in self.templates]
+        self.reach = max((len(t.words) + t.most_other for t in self.templates), default=0)
 
     def stream(self, text: str) -> Stream:
         found, places = [], []
@@ -131,25 +161,59 @@ class Matcher:
             cues[first:last + 1] = True
         return Stream(text, found, places, numbers, cues)
 
-    def saving(self, block: str, i: int) -> float:
-        """What template ``i`` as a dictionary saves of the plainly compressed size, in per cent; case does not count."""
+    def savings(self, block: str) -> list[int]:
+        """Bytes that each template as a dictionary saves of the block; case does not count."""
         raw = block.lower().encode()
         whole = len(self.plain.compress(raw))
-        return 100 * (whole - len(self.given[i].compress(raw))) / whole
+        return [whole - len(c.compress(raw)) for c in self.given]
 
     def matches(self, stream: Stream) -> list[dict]:
-        """Every confirmed stretch of every template; they may overlap."""
-        hits = []
-        for i, t in enumerate(self.templates):
-            for start, end in windows(stream, t, self.holds[i]):
-                saving = self.saving(" ".join(stream.text[a:b] for a, b in stream.places[start:end]), i)
-                if saving < LEAST_SAVING:
-                    continue
-                found = differences(t, stream, start, end)
-                if found["n_other"] <= t.most_other:
-                    hits.append({"license": t.name, "template": i, "saving": round(saving, 3), **found, "start": stream.places[start][0], "end": stream.places[end - 1][1]})
+        """The confirmed notices of all blocks; those of overlapping blocks may overlap."""
+        hits, todo = [], blocks(stream, self.reach)
+        while todo:
+            start, end = todo.pop()
+            hit = self.best(stream, start, end)
+            if hit:
+                hits.append(hit)
+                first, behind = hit.pop("words")
+                todo += [(a, b) for a, b in ((start, first), (behind, end)) if stream.cues[a:b].any()]
         return hits
 
+    def best(self, stream: Stream, start: int, end: int) -> dict | None:
+        """The confirmed template that saves most of a block; of those that save nearly as much, the one with fewer other words, then the shorter, the earlier stretch."""
+        saved = self.savings(" ".join(stream.text[a:b] for a, b in stream.places[start:end]))
+        ranked = sorted((i for i, n in enumerate(saved) if n * 100 >= LEAST_SAVING * self.alone[i]), key=lambda i: -saved[i])
+        while ranked:
+            near = [i for i in ranked if saved[i] >= saved[ranked[0]] - NEAR]
+            found = [x for i in near for x in self.confirmed(stream, start, end, i, saved[i])]
+            if found:
+                return min(found, key=lambda h: (h["n_other"], h["end"] - h["start"], h["start"], -h["saving"]))
+            ranked = ranked[len(near):]
+        return None
+
+    def confirmed(self, stream: Stream, start: int, end: int, i: int, saved: int) -> list[dict]:
+        t = self.templates[i]
+        part = Stream(stream.text, stream.words[start:end], stream.places[start:end], stream.numbers[start:end], stream.cues[start:end])
+        out = []
+        for a, b in windows(part, t, self.holds[i]):
+            found = differences(t, stream, start + a, start + b)
+            if found["n_other"] <= t.most_other:
+                out.append({"license": t.name, "template": i, "saving": round(100 * saved / self.alone[i], 3), **found, "start": part.places[a][0], "end": part.places[b - 1][1], "words": (start + a, start + b)})
+        return out
+
+
+def blocks(stream: Stream, reach: int) -> list[tuple[int, int]]:
+    """Surroundings of the cues, ``reach`` words on both sides, put together where they meet and cut where they are long."""
+    n, out = len(stream.words), []
+    for at in np.flatnonzero(stream.cues).tolist():
+        a, b = max(0, at - reach), min(n, at + reach + 1)
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], b
+        else:
+            out.append((a, b))
+    step = max(BLOCK_WORDS - 2 * reach, reach)
+    return [(a, min(a + step + 2 * reach, b)) for first, b in out for a in (range(first, max(b - 2 * reach, first + 1), step))]
+
 
 def windows(stream: Stream, t: Template, holds: np.ndarray) -> list[tuple[int, int]]:
     """Stretches (first word, word behind the last) that differ from the template by ``most_other`` words or fewer, the best of each beginning.
@@ -241,8 +305,8 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, id
     """``id_col`` and ``licenses``, an array of (license, template, start, end, saving, n_other, missing, added), for every row.
 
     Positions are code points of the notice, from its first to its last word. Null, empty and cue-less texts have none.
-    Of overlapping notices the one with fewer other words stays, of equally good ones the shorter, then the earlier, then
-    the one that saves more. Rows are scanned one by one; the table of templates is fixed and small, and an empty one finds
+    Of overlapping notices the one that saves more bytes stays, then the one with fewer other words, the shorter, the
+    earlier. ``saving`` is the bytes saved in per cent of the template's own compressed size. Rows are scanned one by one; the table of templates is fixed and small, and an empty one finds
     nothing.
     """
     kind = "array<struct<license:string,template:int,start:int,end:int,saving:double,n_other:int,missing:array<string>,added:array<string>>>"
@@ -258,7 +322,7 @@ def _found(text: str | None, matcher: Matcher) -> list[dict]:
         return []
     out: list[dict] = []
     starts: list[int] = []
-    for hit in sorted(matcher.matches(matcher.stream(text)), key=lambda h: (h["n_other"], h["end"] - h["start"], h["start"], -h["saving"])):
+    for hit in sorted(matcher.matches(matcher.stream(text)), key=lambda h: (-h["saving"] * matcher.alone[h["template"]], h["n_other"], h["end"] - h["start"], h["start"])):
         at = bisect(starts, hit["start"])
         if (at == 0 or out[at - 1]["end"] <= hit["start"]) and (at == len(out) or hit["end"] <= out[at]["start"]):
             out.insert(at, hit)

@@ -145,6 +145,27 @@ def test_licenses_over_line_ends_and_before_their_cue(spark, docs):
     assert texts[3][got[3].licenses[0].start:got[3].licenses[0].end] == "Licensed under the Apache License,\nVersion 2.0."
 
 
+def test_compression_ranks_templates_and_wording_confirms(spark, docs, monkeypatch):
+    by = {}
+    for name, text in licenses.TEMPLATES:
+        by.setdefault(name, []).append(text)
+    # As many other words from either version; the marks, which are no words, save more with one.
+    gpl3, gpl2 = by["GPL-3.0"][1].replace("version 3", "version 4"), by["GPL-2.0"][1].replace("version 2", "version 4")
+    whole = [by["MIT"][-1], by["BSD-2-Clause"][0], by["BSD-3-Clause"][0], by["Zlib"][0], by["Unlicense"][0]]
+    two = f"{by['CC-BY-NC-4.0'][0]} Some text. {by['CC-BY-4.0'][0]}"
+    texts = [gpl3, gpl2, *whole, two, "Copies of all kinds are reserved rights here: a licence to redistribute free software is no notice.", " ".join([by["MIT"][0], "x"] * 900)]
+    got = by_id(licenses.scan(docs([*texts, *texts], ids=range(2 * len(texts)))))
+    want = [["GPL-3.0"], ["GPL-2.0"], ["MIT"], ["BSD-2-Clause"], ["BSD-3-Clause"], ["Zlib"], ["Unlicense"], ["CC-BY-NC-4.0", "CC-BY-4.0"], [], ["MIT"] * 900]
+    assert {i: [x.license for x in r.licenses] for i, r in got.items()} == dict(enumerate(want + want))
+    matcher = licenses.Matcher(licenses.TEMPLATES)
+    stream = matcher.stream(gpl3)
+    saved = matcher.savings(gpl3)
+    assert saved[6] > saved[8] and saved[6] == max(saved)  # GPL-3.0 before GPL-2.0
+    # Without the saving nothing is a candidate.
+    monkeypatch.setattr(matcher, "savings", lambda block: [0] * len(matcher.templates))
+    assert matcher.matches(stream) == []
+
+
 # language ID
 
 def test_kneser_ney_probabilities_sum_to_one():
