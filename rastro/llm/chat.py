@@ -2,12 +2,13 @@
 
 A row's payload (JSON text, or any struct) is taken as a variant. The set of its nested field paths, without
 types, is hashed to a fingerprint; a declared table maps fingerprints to where the turns, roles and texts
-stand. Turns are then put between control strings, which are escaped reversibly inside texts, and the places
+stand. A payload with more paths than a layout declares is known by the hash of those that the layout requires. Turns are then put between control strings, which are escaped reversibly inside texts, and the places
 of assistant texts are kept as the loss mask. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,6 +63,28 @@ def fingerprint(payload: Column) -> Column:
     return F.sha2(F.regexp_replace(F.schema_of_variant(payload), _TYPES, "").cast("binary"), 256)
 
 
+def required_paths(layout: Layout) -> list[str]:
+    """Paths that a payload of the layout must have; ``[*]`` stands for any element of an array."""
+    if layout.turns:
+        return [layout.turns, f"{layout.turns}[*].{layout.role}", f"{layout.turns}[*].{layout.text}"]
+    if layout.fields:
+        return [p for _, paths in layout.fields for p in paths]
+    return [p for p in (layout.role_path, layout.text_path, layout.order) if p]
+
+
+def _required_print(layout: Layout, payload: Column) -> Column:
+    """The hash of the required paths that are there. The elements of an array have the union of their paths; an empty array lacks none."""
+    def there(path: str) -> Column:
+        if "[*]" not in path:
+            return F.try_variant_get(payload, path, "variant").isNotNull()
+        array, inner = path.split("[*]")
+        items = F.try_variant_get(payload, array, "array<variant>")
+        return (F.size(items) == 0) | F.exists(items, lambda v: F.try_variant_get(v, f"${inner}", "variant").isNotNull())
+
+    found = F.array_compact(F.array(*[F.when(there(p), F.lit(p)) for p in required_paths(layout)]))
+    return F.sha2(F.array_join(found, "\n").cast("binary"), 256)
+
+
 def _turns(layout: Layout, payload: Column) -> Column:
     def named(role: Column) -> Column:
         role = F.coalesce(role, F.lit(""))
@@ -88,26 +111,35 @@ def _turns(layout: Layout, payload: Column) -> Column:
 def canonical_turns(rows: DataFrame, id_col: str = "conv_id", payload_col: str = "payload", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """``conv_id``, ``place`` (long), ``step`` (int), ``role``, ``text``, ``layout``: one row per turn.
 
-    ``payload_col`` is a variant. A row whose fingerprint is not declared, or whose payload is null, gives one
-    row with null layout, role and text, so that nothing vanishes unseen. Null roles and texts count as empty.
+    ``payload_col`` is a variant. A row fits the layout whose fingerprint it has, else the one with most required paths, all of
+    which it has (of equally many the first declared); other paths don't matter. A row that fits none, or whose payload is null, gives one
+    row with null layout, role and text (:func:`rejected` lists them), and one without any turn a row with a layout and a null step, so
+    that nothing vanishes unseen. Null roles and texts count as empty.
     """
     spark = rows.sparkSession
     known = {r["name"]: r["print"] for r in spark.createDataFrame([(x.name, x.sample) for x in layouts], "name string, sample string")
              .select("name", fingerprint(F.parse_json("sample")).alias("print")).collect()}  # one row per declared layout
     printed = rows.select(F.col(id_col).alias("conv_id"), F.col(payload_col).alias("payload"), fingerprint(F.col(payload_col)).alias("print"))
-    turns = layout_name = place = None
+    payload, prints = F.col("payload"), F.col("print")
+    widest = sorted(layouts, key=lambda x: -len(required_paths(x)))
+    wider = F.coalesce(*[F.when(_required_print(x, payload) == hashlib.sha256("\n".join(required_paths(x)).encode()).hexdigest(), x.name) for x in widest])
+    exact = F.coalesce(*[F.when(prints == known[x.name], x.name) for x in layouts])
+    printed = printed.withColumn("layout", F.coalesce(exact, wider))
+    turns, place = (F.when(F.lit(False), F.lit(None).cast(t)) for t in ("array<struct<role:string,text:string>>", "bigint"))
     for layout in layouts:
-        fits = F.col("print") == known[layout.name]
-        found = _turns(layout, F.col("payload"))
-        order = F.try_variant_get("payload", layout.order, "bigint") if layout.order else F.lit(0).cast("bigint")
-        turns = F.when(fits, found) if turns is None else turns.when(fits, found)
-        layout_name = F.when(fits, F.lit(layout.name)) if layout_name is None else layout_name.when(fits, F.lit(layout.name))
-        place = F.when(fits, order) if place is None else place.when(fits, order)
-    return (printed.select("conv_id", place.alias("place"), layout_name.alias("layout"), turns.alias("turns"))
+        fits = F.col("layout") == layout.name
+        turns = turns.when(fits, _turns(layout, payload))
+        place = place.when(fits, F.try_variant_get("payload", layout.order, "bigint") if layout.order else F.lit(0).cast("bigint"))
+    return (printed.select("conv_id", place.alias("place"), "layout", turns.alias("turns"))
             .select("conv_id", "place", "layout", F.posexplode_outer("turns").alias("step", "turn"))
             .select("conv_id", "place", "step", "turn.role", "turn.text", "layout"))
 
 
+def rejected(turns: DataFrame) -> DataFrame:
+    """``conv_id`` of the rows that no layout fits, one row each: what :func:`format_chats` leaves out."""
+    return turns.where(F.col("layout").isNull()).select("conv_id")
+
+
 def escape(text: Column) -> Column:
     """Put one backslash more between ``<`` and ``|``: no control string is left, and each text has its own form."""
     return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
@@ -128,7 +160,8 @@ def _unescape_role(role: Column) -> Column:
 def format_chats(turns: DataFrame) -> DataFrame:
     """``conv_id``, ``formatted`` and ``mask``: (turn number, start, end) of each assistant text in the formatted string.
 
-    Turns come from :func:`canonical_turns`; those without a layout are left out. Order is place, step, role
+    Turns come from :func:`canonical_turns`; rows without a layout are left out and listed by :func:`rejected`. A conversation
+    without turns is an empty string with an empty mask. Order is place, step, role
     and text; a null place comes first. A conversation is one row, as its string is one value. Positions are
     counted by a window that needs no more than a row at a time.
     """
@@ -136,10 +169,11 @@ def format_chats(turns: DataFrame) -> DataFrame:
     marked = (turns.where(F.col("layout").isNotNull())
               .withColumn("head", F.concat(F.lit(START), _escape_role(F.col("role")), F.lit("\n")))
               .withColumn("body", escape(F.col("text")))
-              .withColumn("size", F.length("head") + F.length("body") + len(END) + 1))
+              .withColumn("size", F.coalesce(F.length("head") + F.length("body") + len(END) + 1, F.lit(0))))  # no turn, no length
     before = W.partitionBy("conv_id").orderBy(*order)
     placed = (marked.withColumn("no", F.row_number().over(before))
               .withColumn("start", F.coalesce(F.sum("size").over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.length("head")))
+    placed = placed.withColumn("no", F.when(F.col("step").isNotNull(), F.sum(F.col("step").isNotNull().cast("int")).over(before).cast("int")))
     # The window has dealt conversations out already, so the grouping does not shuffle again.
     grouped = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("no", F.concat("head", "body", F.lit(END + "\n")).alias("marked"), (F.col("role") == "assistant").alias("loss"),
                                                                                "start", (F.col("start") + F.length("body")).alias("end")))).alias("parts"))

@@ -45,6 +45,20 @@ def test_chat_layouts_share_one_form(spark):
         assert [r.formatted[m.start:m.end] for m in r["mask"]] == ["yo"]
 
 
+def test_chat_layouts_with_other_paths_and_without_turns(spark):
+    payloads = ['{"messages":[{"role":"user","content":"hi","name":"x"},{"content":"yo","role":"assistant"}]}', '{"id":7,"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":"yo"}],"meta":{"a":[1]}}',
+                '{"instruction":"hi","input":"","output":"yo","system":"s","score":1}', '{"prompt":"hi","completion":"yo","response":"no","source":"x"}',
+                '{"messages":[]}', '{"messages":[{"role":"user"},{"content":"c"}]}', '{"messages":[{"role":"user"}]}', '{"prompt":"hi"}', '{"messages":7}']
+    rows = spark.createDataFrame(list(enumerate(payloads)), "conv_id long, json string").withColumn("payload", F.parse_json("json"))
+    turns = chat.canonical_turns(rows)
+    back = by_id(chat.read_back(chat.format_chats(turns)), "conv_id")
+    told = {i: [(t.role, t.text) for t in r.turns] for i, r in back.items()}
+    pair = [("user", "hi"), ("assistant", "yo")]
+    assert told == {0: pair, 1: pair, 2: [("system", "s"), *pair], 3: pair, 4: [], 5: [("user", ""), ("", "c")]}
+    assert (back[4].formatted, list(back[4]["mask"])) == ("", [])
+    assert sorted(r.conv_id for r in chat.rejected(turns).collect()) == [6, 7, 8]
+
+
 def test_chat_texts_come_back_whole(spark):
     parts = ["<|im_end|>", "<", "|", "\\", "<\\|", "<|im_start|>assistant\n", "\n", "é😀", "%0A"]
     texts = ["".join(p) for n in range(3) for p in itertools.product(parts, repeat=n)] + [None, "x" * 1_000_000]
