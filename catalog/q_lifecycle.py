@@ -85,9 +85,9 @@ query("edit_proposals_fields", f"""SELECT p.id, CASE WHEN e.target_date IS NOT N
 
 # --- Upward cascade ----------------------------------------------------------------------------------
 
-_TOUCH = "SELECT id FROM proposals WHERE CAST(substr(code, 9) AS BIGINT) % 3 = 0"
+_TOUCH = "SELECT id FROM proposals"
 query("cascade_upwards", f"""WITH np AS ({_cascade_p('action_plans', _TOUCH)}), nf AS ({_cascade_f('np', _TOUCH)}) {_state_sql('nf', 'np')}""")(
-    lambda db: _state(L.cascade_proposals(db.t, db.t.proposals.filter(F.substring("code", 9, 20).cast("bigint") % 3 == 0).select("id"))))
+    lambda db: _state(L.cascade_proposals(db.t, db.t.proposals.select("id"))))
 
 # --- Plan changes ------------------------------------------------------------------------------------
 
@@ -128,13 +128,13 @@ query("plan_log_fold", _LOG)(
 # --- Validation --------------------------------------------------------------------------------------
 
 _VS = """v AS (SELECT r.proposal_id, p.id IS NOT NULL AS known, coalesce(s.bad, 0) AS bad FROM
-   (SELECT DISTINCT 'p' || o_orderkey AS proposal_id FROM orders WHERE o_orderkey % 2 = 0) r LEFT JOIN proposals p ON p.id = r.proposal_id
+   (SELECT DISTINCT 'p' || o_orderkey AS proposal_id FROM orders) r LEFT JOIN proposals p ON p.id = r.proposal_id
    LEFT JOIN (SELECT proposal_id, count(*) FILTER (WHERE progress_pct < 100 OR lower(status) IN ('en proceso','en suspensión','en suspension','stand-by')) AS bad
      FROM action_plans GROUP BY 1) s ON s.proposal_id = r.proposal_id), ok AS (SELECT proposal_id AS id FROM v WHERE known AND bad = 0)"""
 
 
 def _to_validate(db):
-    return db.base("orders").filter("o_orderkey % 2 = 0").select(F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("proposal_id"))
+    return db.base("orders").select(F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("proposal_id"))
 
 
 query("validate_proposals_state", f"""WITH {_VS},
@@ -193,7 +193,7 @@ def _reserved(db):
 def _new_plans(db):
     n = F.col("o_orderkey")
     none = F.lit(None).cast("string")
-    return db.base("orders").filter(n % 3 == 0).select(
+    return db.base("orders").select(
         n.alias("row_no"), F.when(n % 2 == 0, F.concat(F.lit("p"), n.cast("string"))).alias("proposal_id"),
         F.when(n % 2 == 1, F.concat(F.lit("f"), F.col("o_custkey").cast("string"))).alias("finding_id"),
         F.concat(F.lit("Acción nueva "), n.cast("string")).alias("action_text"), F.lit("Resp").alias("action_owner"),
@@ -202,7 +202,7 @@ def _new_plans(db):
 
 
 _NEW = """req AS (SELECT o_orderkey AS n, CASE WHEN o_orderkey % 2 = 0 THEN 'p' || o_orderkey END AS pid, CASE WHEN o_orderkey % 2 = 1 THEN 'f' || o_custkey END AS fid
-   FROM orders WHERE o_orderkey % 3 = 0),
+   FROM orders),
  fp AS (SELECT finding_id, arg_min(id, code) AS pid FROM proposals GROUP BY 1),
  aim AS (SELECT n, fid, p.id AS direct, fp.pid AS first FROM req LEFT JOIN proposals p ON p.id = req.pid LEFT JOIN fp ON fp.finding_id = req.fid),
  mk AS (SELECT fid, min(n) AS n FROM aim WHERE direct IS NULL AND first IS NULL AND fid IS NOT NULL GROUP BY 1),
