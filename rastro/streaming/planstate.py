@@ -69,9 +69,10 @@ def _all(tables: list[list]) -> list | None:
 
 
 class PlanState(StatefulProcessor):
-    """Value state: the plan's first row, its sealed changes, and per block its first number and composed table. Map state: the changes of each block."""
+    """Value state: the plan's first row, its sealed changes, and per block its first number, its composed table, and the changes of a
+    first block of a few. Map state: the changes of all other blocks."""
 
-    BLOCK = 128
+    BLOCK, FEW = 128, 16
 
     def __init__(self, timed: bool):
         self.timed = timed
@@ -83,12 +84,24 @@ class PlanState(StatefulProcessor):
 
     def _read(self) -> dict:
         found = self.plan.get()
-        return json.loads(found[0]) if found else {"base": None, "removed": False, "sealed": None, "upto": None, "blocks": []}
+        return json.loads(found[0]) if found else self._fresh()
+
+    @staticmethod
+    def _fresh() -> dict:
+        return {"base": None, "removed": False, "sealed": None, "upto": None, "blocks": []}
+
+    def _changes(self, block: list) -> dict:
+        """The changes of a block by number."""
+        body = block[2] if block[2] is not None else json.loads(self.changes.getValue((block[0],))[0])
+        return {int(k): v for k, v in body.items()}
+
+    def _forget(self, blocks: list) -> None:
+        for first, _, own in blocks:
+            if own is None:
+                self.changes.removeKey((first,))
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        state = self._read()
-        state["base"] = [initialState[c] for c in BASE]
-        self.plan.update((json.dumps(state),))
+        self.plan.update((json.dumps(self._fresh() | {"base": [initialState[c] for c in BASE]}),))  # the first a key's state gets
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         state, late, latest = self._read(), [], None
@@ -107,8 +120,7 @@ class PlanState(StatefulProcessor):
                 latest = at if latest is None else max(latest, at)
         self._store(state["blocks"], open_blocks)
         if state["removed"]:
-            for first, _ in state["blocks"]:
-                self.changes.removeKey((first,))
+            self._forget(state["blocks"])
             state |= {"base": None, "sealed": None, "blocks": []}
         if latest is not None and state["blocks"]:
             for t in list(self.handle.listTimers()):
@@ -121,17 +133,17 @@ class PlanState(StatefulProcessor):
         """Put a change into the block whose numbers it belongs to; a block of twice the size is halved."""
         at = max(bisect_right([b[0] for b in blocks], no) - 1, 0)
         if not blocks:
-            blocks.append([no, None])
+            blocks.append([no, None, {}])
             open_blocks[no] = {}
         first = blocks[at][0]
         if first not in open_blocks:
-            open_blocks[first] = {int(k): v for k, v in json.loads(self.changes.getValue((first,))[0]).items()}
+            open_blocks[first] = self._changes(blocks[at])
         block = open_blocks[first]
         block[no] = change
         if len(block) >= 2 * self.BLOCK:
             order = sorted(block)
             upper = {k: block.pop(k) for k in order[self.BLOCK:]}
-            blocks.insert(at + 1, [order[self.BLOCK], None])
+            blocks.insert(at + 1, [order[self.BLOCK], None, None])
             open_blocks[order[self.BLOCK]] = upper
 
     def _store(self, blocks: list, open_blocks: dict) -> None:
@@ -139,17 +151,17 @@ class PlanState(StatefulProcessor):
             if b[0] in open_blocks:
                 block = open_blocks[b[0]]
                 b[1] = _all([block[k] for k in sorted(block)])
-                self.changes.updateValue((b[0],), (json.dumps(block),))
+                b[2] = block if b[2] is not None and len(block) <= self.FEW else None
+                if b[2] is None:
+                    self.changes.updateValue((b[0],), (json.dumps(block),))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """All changes so far lie behind the watermark: keep what they come to, and the last number."""
         state = self._read()
         if state["blocks"]:
-            last = json.loads(self.changes.getValue((state["blocks"][-1][0],))[0])
-            state["upto"] = max(map(int, last))
+            state["upto"] = max(self._changes(state["blocks"][-1]))
             state["sealed"] = _all([t for t in [state["sealed"], *(b[1] for b in state["blocks"])] if t])
-            for first, _ in state["blocks"]:
-                self.changes.removeKey((first,))
+            self._forget(state["blocks"])
             state["blocks"] = []
             self.plan.update((json.dumps(state),))
         return iter(())

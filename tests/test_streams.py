@@ -153,6 +153,7 @@ def _walk(start, log):
 
 def test_blocks_of_changes_stay_small_and_in_order(monkeypatch):
     monkeypatch.setattr(planstate.PlanState, "BLOCK", 4)
+    monkeypatch.setattr(planstate.PlanState, "FEW", 3)
     rng = random.Random(7)
     numbers = list(range(-60, 90))
     rng.shuffle(numbers)
