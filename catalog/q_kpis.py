@@ -68,13 +68,13 @@ def _scope_sql(where: str) -> str:
       count(DISTINCT pa.id) AS plans FROM {Q.ALL4} WHERE {where}"""
 
 
-query("scope_counts", _scope_sql("true"))(lambda db: kpis.scope_counts(P.scoped(db.t)))
+query("scope_counts", _scope_sql("true"))(lambda db: kpis.scope_counts(db.t, db.cut))
 query("scope_counts_area", _scope_sql(AREA_SQL))(
-    lambda db: kpis.scope_counts(P.scoped(db.t, P.Scope(area=AREA))))
+    lambda db: kpis.scope_counts(db.t, db.cut, P.Scope(area=AREA)))
 query("scope_counts_report", _scope_sql(f"(r.id = '{REPORT}' OR r.code = '{REPORT}')"))(
-    lambda db: kpis.scope_counts(P.scoped(db.t, P.Scope(report=REPORT))))
+    lambda db: kpis.scope_counts(db.t, db.cut, P.Scope(report=REPORT)))
 query("scope_counts_period_area", _scope_sql(f"(r.period = '{PERIOD}' OR r.period LIKE '%{PERIOD}%') AND {AREA_SQL}"))(
-    lambda db: kpis.scope_counts(P.scoped(db.t, P.Scope(area=AREA, period=PERIOD))))
+    lambda db: kpis.scope_counts(db.t, db.cut, P.Scope(area=AREA, period=PERIOD)))
 
 
 def _severity_sql(where: str) -> str:
@@ -86,9 +86,9 @@ def _severity_sql(where: str) -> str:
     FROM {Q.LEFT4} WHERE {where}"""
 
 
-query("kpi_open_by_severity", _severity_sql("true"))(lambda db: kpis.open_by_severity(P.scoped(db.t)))
+query("kpi_open_by_severity", _severity_sql("true"))(lambda db: kpis.open_by_severity(db.t, db.cut))
 query("kpi_open_by_severity_area", _severity_sql(AREA_SQL))(
-    lambda db: kpis.open_by_severity(P.scoped(db.t, P.Scope(area=AREA))))
+    lambda db: kpis.open_by_severity(db.t, db.cut, P.Scope(area=AREA)))
 
 LATE = f"{Q.date('pa.target_date')} < {CUT} AND lower(pa.status) NOT IN {Q.LATE_OUT}"
 
@@ -100,9 +100,9 @@ def _overdue_sql(where: str) -> str:
     FROM {Q.INNER4} WHERE {where}"""
 
 
-query("kpi_overdue_commitments", _overdue_sql("true"))(lambda db: kpis.overdue_commitments(P.scoped(db.t), db.cut))
+query("kpi_overdue_commitments", _overdue_sql("true"))(lambda db: kpis.overdue_commitments(db.t, db.cut))
 query("kpi_overdue_commitments_area", _overdue_sql(AREA_SQL))(
-    lambda db: kpis.overdue_commitments(P.scoped(db.t, P.Scope(area=AREA)), db.cut))
+    lambda db: kpis.overdue_commitments(db.t, db.cut, P.Scope(area=AREA)))
 
 query("kpi_proposal_states", f"""
 SELECT d.state, count(x.id) AS total FROM (VALUES ('En proceso'), ('En suspensión'), ('Pendiente de validación'), ('Finalizado')) d(state)
@@ -186,6 +186,29 @@ query("kpi_executive_summary", _summary_sql("true"))(lambda db: kpis.executive_s
 query("kpi_executive_summary_scoped", _summary_sql(f"r.period LIKE '%{PERIOD}%' AND {AREA_SQL}"))(
     lambda db: kpis.executive_summary(db.t, db.cut, P.Scope(area=AREA, period=PERIOD)))
 
+def _cube_sql() -> str:
+    open_ = f"lower(f.status) NOT IN {Q.CLOSED4}"
+    distinct = lambda name, cond, key: f'count(DISTINCT CASE WHEN {cond} THEN {key} END) AS "{name}"'
+    measures = ", ".join([
+        distinct("findings", "true", "f.id"), distinct("high_risk_open", f"lower(f.severity) IN {Q.HIGH5} AND {open_}", "f.id"),
+        distinct("medium_risk_open", f"lower(f.severity) IN {Q.MED3} AND {open_}", "f.id"),
+        distinct("low_risk_open", f"lower(f.severity) IN {Q.LOW3} AND {open_}", "f.id"), distinct("overdue_findings", LATE, "f.id"),
+        distinct("proposals", "true", "p.id"), distinct("validated_proposals", VALID, "p.id"),
+        *[distinct(f"state: {s}", f"{Q.norm_status('p.status')} = '{s}'", "p.id") for s in ("En proceso", "En suspensión", "Pendiente de validación", "Finalizado")],
+        distinct("plans", "true", "pa.id"), distinct("overdue_plans", LATE, "pa.id"),
+        distinct("suspended_overdue", f"{Q.date('pa.target_date')} < {CUT} AND lower(pa.status) IN {Q.SUSP3}", "pa.id"),
+        distinct("pending_validation", PENDING, "pa.id"), distinct("on_time", IN_TIME, "pa.id"),
+        distinct("evaluable", f"{DONE} AND {DATES}", "pa.id"), distinct("excluded", f"{DONE} AND NOT ({DATES})", "pa.id")])
+    return f"""WITH place AS (SELECT id AS fid, responsible_area AS area, false AS whole FROM findings WHERE responsible_area IS NOT NULL
+      UNION SELECT finding_id, responsible_area, false FROM proposals WHERE responsible_area IS NOT NULL UNION ALL SELECT id, NULL, true FROM findings)
+    SELECT r.id AS report_id, r.code AS report_code, r.period, x.area, coalesce(x.whole, true) AS all_areas, {measures}
+    FROM reports r LEFT JOIN (findings f JOIN place x ON x.fid = f.id) ON f.report_id = r.id
+      LEFT JOIN proposals p ON p.finding_id = f.id AND (x.whole OR f.responsible_area = x.area OR p.responsible_area = x.area)
+      LEFT JOIN action_plans pa ON pa.proposal_id = p.id GROUP BY ALL"""
+
+
+query("kpi_scope_cube", _cube_sql())(lambda db: kpis.scope_cube(db.t, db.cut))
+
 query("area_list", """
 SELECT coalesce(nullif(responsible_area, ''), 'Operaciones') AS area, count(*) AS total,
   count(*) FILTER (WHERE lower(severity) = 'alto') AS high, count(*) FILTER (WHERE lower(coalesce(status, '')) <> 'finalizado') AS open,

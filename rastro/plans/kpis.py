@@ -126,34 +126,6 @@ def critical_pending(t: Tables, cut: Column, top: int = 10, mode: str = "as_is")
 
 # --- Executive KPIs --------------------------------------------------------------------------------
 
-def scope_counts(s: P.Scoped) -> DataFrame:
-    return _side_by_side(
-        s.reports.agg(N().alias("reports")), s.findings.agg(N().alias("findings")),
-        s.proposals.agg(N().alias("proposals")), s.plans.agg(N().alias("plans")))
-
-
-def _high(prefix="f") -> Column:
-    return P.open_severity(f"{prefix}_severity", f"{prefix}_status", S.HIGH5)
-
-
-def open_by_severity(s: P.Scoped) -> DataFrame:
-    counts = s.findings.agg(
-        F.count_if(_high()).alias("high_risk_open"),
-        F.count_if(P.open_severity("f_severity", "f_status", S.MED3)).alias("medium_risk_open"),
-        F.count_if(P.open_severity("f_severity", "f_status", S.LOW3)).alias("low_risk_open"))
-    reports = s.findings.filter(_high()).select("f_report_id").distinct().agg(N().alias("affected_reports"))
-    return _side_by_side(counts, reports)
-
-
-def overdue_commitments(s: P.Scoped, cut: Column) -> DataFrame:
-    late = P.overdue(F.col("pa_target_dt"), "pa_status", cut)
-    counts = s.plans.agg(
-        F.count_if(late).alias("overdue_plans"),
-        F.count_if(P.suspended_overdue(F.col("pa_target_dt"), "pa_status", cut)).alias("suspended_overdue"))
-    findings = s.plans.filter(late).select("p_finding_id").distinct().agg(N().alias("affected_findings"))
-    return _side_by_side(counts, findings)
-
-
 def proposal_states(s: P.Scoped) -> DataFrame:
     counts = s.proposals.groupBy(normalize_status("p_status").alias("state")).agg(N().alias("total"))
     return _zero_filled(counts, "state", S.STATUSES)
@@ -182,32 +154,123 @@ def pending_validation_count(s: P.Scoped) -> DataFrame:
     return s.plans.agg(F.count_if(P.pending_validation("pa_progress_pct", "pa_status")).alias("pending_validation"))
 
 
+# Measures of the scope cube: counts of the plans, of the proposals and of the findings.
+PLAN_MEASURES = ["plans", "overdue_plans", "suspended_overdue", "pending_validation", "on_time", "evaluable", "excluded"]
+PROPOSAL_MEASURES = ["proposals", "validated_proposals"] + [f"state: {v}" for v in S.STATUSES]
+FINDING_MEASURES = ["findings", "high_risk_open", "medium_risk_open", "low_risk_open", "overdue_findings"]
+MEASURES = FINDING_MEASURES + PROPOSAL_MEASURES + PLAN_MEASURES
+
+
+def _q(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
+def _plans_of_proposals(t: Tables, cut: Column) -> DataFrame:
+    dt = parse_date("target_date")
+    closed = low("status").isin(S.CLOSED3)
+    both = nonblank("closed_date") & nonblank("target_date")
+    counts = {
+        "plans": N(), "overdue_plans": F.count_if(P.overdue(dt, "status", cut)),
+        "suspended_overdue": F.count_if(P.suspended_overdue(dt, "status", cut)),
+        "pending_validation": F.count_if(P.pending_validation("progress_pct", "status")),
+        "on_time": F.count_if(closed & both & (parse_date("closed_date") <= dt)),
+        "evaluable": F.count_if(closed & both), "excluded": F.count_if(closed & ~both),
+    }
+    return t.action_plans.groupBy("proposal_id").agg(*[c.alias(m) for m, c in counts.items()])
+
+
+def _proposals_of_findings(t: Tables, cut: Column, areas: list[str] | None) -> DataFrame:
+    """Sums per finding and area of its proposals, and per finding over all of them (``whole``).
+
+    With ``areas`` the proposals of other areas are told apart no further.
+    """
+    state = normalize_status("p.status")
+    valid = low("p.status").isin(S.VALIDATED4) & nonblank("p.validated_by")
+    theirs = F.col("p.responsible_area")
+    rows = (t.proposals.alias("p").join(_plans_of_proposals(t, cut).alias("pa"), F.col("p.id") == F.col("pa.proposal_id"), "left")
+            .select(F.col("p.finding_id").alias("finding_id"), (theirs if areas is None else F.when(theirs.isin(areas), theirs)).alias("p_area"),
+                    valid.alias("__valid"), state.alias("__state"), *[_q(m) for m in PLAN_MEASURES]))
+    counts = [N().alias("proposals"), F.count_if("__valid").alias("validated_proposals"),
+              *[F.count_if(F.col("__state") == v).alias(f"state: {v}") for v in S.STATUSES],
+              *[F.coalesce(F.sum(_q(m)), F.lit(0)).alias(m) for m in PLAN_MEASURES]]
+    if not (areas is None or areas):
+        return rows.groupBy("finding_id").agg(*counts).withColumns({"area": F.lit(None).cast("string"), "whole": F.lit(True)})
+    per_area = rows.groupBy("finding_id", "p_area").agg(*counts)
+    both = F.array(F.struct(F.col("p_area").alias("area"), F.lit(False).alias("whole")),
+                   F.struct(F.lit(None).cast("string").alias("area"), F.lit(True).alias("whole")))
+    sums = [F.sum(_q(m)).alias(m) for m in PROPOSAL_MEASURES + PLAN_MEASURES]
+    return (per_area.select("finding_id", *[_q(m) for m in PROPOSAL_MEASURES + PLAN_MEASURES], F.inline(both))
+            .filter("whole OR area IS NOT NULL").groupBy("finding_id", "area", "whole").agg(*sums))
+
+
+def scope_cube(t: Tables, cut: Column, areas: list[str] | None = None) -> DataFrame:
+    """Exact counts per report and area, and per report over all areas (``all_areas``), that add up to those of any scope.
+
+    A finding is in an area if its own area or a proposal's is that one; with its own area all its proposals and plans
+    count there, else those of the proposals of that area. A finding has one report and is one row per area, so
+    sums over reports are distinct counts already, and the reports with a count above zero are the distinct reports.
+    Columns: report_id, report_code, period, area, all_areas and ``MEASURES``. Counts climb the hierarchy: every level
+    is summed before it is joined, three joins in all. ``areas`` leaves all others out from the start; an empty list leaves the totals alone.
+    """
+    below = [F.coalesce(_q(m), F.lit(0)).alias(m) for m in PROPOSAL_MEASURES + PLAN_MEASURES]
+    sums = _proposals_of_findings(t, cut, areas)
+    rows = t.findings.alias("f").join(sums.alias("s"), F.col("f.id") == F.col("s.finding_id"), "left")
+    whole = F.coalesce("s.whole", F.lit(True))
+    own = F.col("f.responsible_area")
+    apart = ~whole & F.coalesce(F.col("s.area") != own, F.lit(True))
+    total = F.struct(F.lit(None).cast("string").alias("area"), F.lit(True).alias("all_areas"))
+    place = F.array(total, F.struct(own.alias("area"), F.lit(False).alias("all_areas")))
+    there = F.array(F.struct(F.col("s.area").alias("area"), F.lit(False).alias("all_areas")))
+    measured = rows.filter(whole | apart).select(
+        F.col("f.report_id").alias("report_id"),
+        *[P.open_severity("f.severity", "f.status", words).alias(name)
+          for name, words in (("high_risk_open", S.HIGH5), ("medium_risk_open", S.MED3), ("low_risk_open", S.LOW3))],
+        *below, F.inline(F.when(whole, place).otherwise(there))).filter("all_areas OR area IS NOT NULL")
+    if areas is not None:
+        measured = measured.filter(F.col("all_areas") | F.col("area").isin(areas))
+    per_report = measured.groupBy("report_id", "area", "all_areas").agg(
+        N().alias("findings"), *[F.count_if(m).alias(m) for m in FINDING_MEASURES[1:4]],
+        F.count_if(F.col("overdue_plans") > 0).alias("overdue_findings"),
+        *[F.sum(_q(m)).alias(m) for m in PROPOSAL_MEASURES + PLAN_MEASURES])
+    reports = t.reports.select("id", F.col("code").alias("report_code"), "period")
+    return reports.join(per_report, F.col("id") == F.col("report_id"), "left").select(
+        F.col("id").alias("report_id"), "report_code", "period", "area", F.coalesce("all_areas", F.lit(True)).alias("all_areas"),
+        *[F.coalesce(_q(m), F.lit(0)).alias(m) for m in MEASURES])
+
+
+def scope_of_cube(cube: DataFrame, scope: P.Scope | None = None) -> DataFrame:
+    """One row of all measures for a scope, merged from the cube; ``reports`` and ``high_risk_reports`` beside them."""
+    scope = scope or P.Scope()
+    rows = cube.filter(F.col("area") == scope.area if scope.area else F.col("all_areas"))
+    if scope.report:
+        rows = rows.filter((F.col("report_id") == scope.report) | (F.col("report_code") == scope.report))
+    if scope.period:
+        rows = rows.filter(F.col("period").contains(scope.period))
+    return rows.agg(N().alias("reports"), F.count_if(F.col("high_risk_open") > 0).alias("high_risk_reports"),
+                    *[F.coalesce(F.sum(_q(m)), F.lit(0)).alias(m) for m in MEASURES])
+
+
+def _measures(t: Tables, cut: Column, scope: P.Scope | None) -> DataFrame:
+    return scope_of_cube(scope_cube(t, cut, [scope.area] if scope and scope.area else []), scope)
+
+
+def scope_counts(t: Tables, cut: Column, scope: P.Scope | None = None) -> DataFrame:
+    return _measures(t, cut, scope).select("reports", "findings", "proposals", "plans")
+
+
+def open_by_severity(t: Tables, cut: Column, scope: P.Scope | None = None) -> DataFrame:
+    return _measures(t, cut, scope).select(*FINDING_MEASURES[1:4], F.col("high_risk_reports").alias("affected_reports"))
+
+
+def overdue_commitments(t: Tables, cut: Column, scope: P.Scope | None = None) -> DataFrame:
+    return _measures(t, cut, scope).select("overdue_plans", F.col("overdue_findings").alias("affected_findings"), "suspended_overdue")
+
+
 def executive_summary(t: Tables, cut: Column, scope: P.Scope | None = None) -> DataFrame:
-    """All card values in one pass per grain, as (metric, value) rows."""
-    s = P.scoped(t, scope)
-    dt, cut_ = F.col("pa_target_dt"), cut
-    late = P.overdue(dt, "pa_status", cut_)
-    closed = low("pa_status").isin(S.CLOSED3)
-    both = nonblank("pa_closed_date") & nonblank("pa_target_date")
-    reports = s.reports.agg(N().alias("scope_reports"))
-    findings = s.findings.agg(
-        N().alias("scope_findings"), F.count_if(_high()).alias("high_risk_open"),
-        F.count_if(P.open_severity("f_severity", "f_status", S.MED3)).alias("medium_risk_open"),
-        F.count_if(P.open_severity("f_severity", "f_status", S.LOW3)).alias("low_risk_open"),
-        F.count_distinct(F.when(_high(), F.col("f_report_id"))).alias("high_risk_reports"))
-    proposals = s.proposals.agg(
-        N().alias("scope_proposals"), F.count_if(is_validated()).alias("validated_proposals"),
-        *[F.count_if(normalize_status("p_status") == v).alias(f"state: {v}") for v in S.STATUSES])
-    proposals = proposals.withColumn("validated_rate", rate("validated_proposals", "scope_proposals"))
-    plans = s.plans.agg(
-        N().alias("scope_plans"), F.count_if(late).alias("overdue_plans"),
-        F.count_distinct(F.when(late, F.col("p_finding_id"))).alias("overdue_findings"),
-        F.count_if(P.suspended_overdue(dt, "pa_status", cut_)).alias("suspended_overdue"),
-        F.count_if(P.pending_validation("pa_progress_pct", "pa_status")).alias("pending_validation"),
-        F.count_if(closed & both & (parse_date("pa_closed_date") <= dt)).alias("on_time"),
-        F.count_if(closed & both).alias("evaluable"), F.count_if(closed & ~both).alias("excluded"))
-    plans = plans.withColumn("on_time_rate", rate("on_time", "evaluable"))
-    return _long(reports).unionByName(_long(findings)).unionByName(_long(proposals)).unionByName(_long(plans))
+    """All card values as (metric, value) rows."""
+    named = {"reports": "scope_reports", "findings": "scope_findings", "proposals": "scope_proposals", "plans": "scope_plans"}
+    rates = {"validated_rate": rate("validated_proposals", "proposals"), "on_time_rate": rate("on_time", "evaluable")}
+    return _long(_measures(t, cut, scope).withColumns(rates).withColumnsRenamed(named))
 
 
 def _long(one_row: DataFrame) -> DataFrame:
