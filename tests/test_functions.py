@@ -1,6 +1,8 @@
 """Golden cases of the scalar rules."""
 
 import datetime
+import sys
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -49,3 +51,21 @@ def test_references_and_codes(spark):
 
 def test_titles(spark):
     assert values(spark, ["Hallazgo 9: falta de control", "Hallazgo 3"], lambda: X.clean_title("c0")) == ["Falta de control", "Hallazgo 3"]
+
+
+def _assigned():
+    return [chr(c) for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+
+
+def test_accents_and_keys_of_every_assigned_character(spark):
+    """Each character alone and all in texts of a few hundred, against the Unicode data."""
+    chars = _assigned()
+    texts = ["a" + ch + "b" for ch in chars] + ["".join(chars[i:i + 300]) for i in range(0, len(chars), 300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, c0 string").repartition(8)
+    got = df.select("i", X.fold_accents("c0").alias("folded"), X.norm_key("c0").alias("key")).collect()
+    fold = lambda s: "".join(x for ch in s for x in unicodedata.normalize("NFD", ch) if unicodedata.category(x) != "Mn")
+    ascii_ = lambda s: unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().lower()
+    key = lambda s: " ".join("".join(x if x.isalnum() else " " for x in ascii_(s)).split())
+    assert [(r.i, ascii(texts[r.i])) for r in got if r.folded != fold(texts[r.i])][:5] == []
+    assert [(r.i, ascii(texts[r.i]), r.key) for r in got if r.key != key(texts[r.i])][:5] == []
+    assert len(got) == len(texts)
