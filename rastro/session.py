@@ -75,9 +75,14 @@ def settle(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def day_of(instant: Column) -> Column:
+    """The calendar day in Buenos Aires, in a session whose time zone is UTC (``tune`` sets it)."""
+    return F.to_date(F.from_utc_timestamp(instant, "America/Buenos_Aires"))
+
+
 def today() -> Column:
-    """Default cut date: the calendar day in Buenos Aires."""
-    return F.to_date(F.from_utc_timestamp(F.current_timestamp(), "America/Buenos_Aires"))
+    """Default cut date."""
+    return day_of(F.current_timestamp())
 
 
 def as_cut(cut) -> Column:
