@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog import sqltext as Q
 from catalog.registry import query
+from rastro import schema as S
 from rastro.functions import text as X
 from rastro.functions.basic import first_filled
 from rastro.plans import merge as M
@@ -21,7 +22,8 @@ def _with_baseline(db):
     """Findings whose last import wrote the present title, for every third one."""
     n = F.substring("id", 2, 20).cast("bigint")
     base = F.when(n % 3 == 0, F.map_from_arrays(F.array(F.lit("title")), F.array("title")))
-    return db.t.with_(findings=db.t.findings.withColumn("import_baseline", base))
+    no_batches = db.spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in S.IMPORT_BATCHES.items()))
+    return db.t.with_(findings=db.t.findings.withColumn("import_baseline", base), import_batches=no_batches)
 
 
 query("merge_fields_decisions", """SELECT id, field, CASE WHEN incoming = '' THEN 'skip' WHEN incoming = stored THEN 'refresh' WHEN coalesce(baseline = stored, false) OR stored = '' THEN 'write'
@@ -171,3 +173,40 @@ def _as_new(db):
 query("import_preserved_edits", f"""SELECT 'finding' AS entity, f.id, 'title' AS field, 'preserve' AS decision FROM findings f WHERE CAST(substr(id, 2) AS BIGINT) % 4 = 1
   AND CAST(substr(id, 2) AS BIGINT) % 3 <> 0 AND CAST(substr(id, 2) AS BIGINT) % 10 <> 4""")(
     lambda db: _imported(db).field_log.filter("entity = 'finding'"))
+
+
+# --- The importer's own log ------------------------------------------------------------------------
+
+_EDITED = "n % 4 = 1 AND n % 3 = 0"
+_WROTE = f"""concat_ws(', ', CASE WHEN {_EDITED} THEN 'título' END, CASE WHEN coalesce(responsible_area, '') = '' THEN 'área' END,
+  CASE WHEN coalesce(action_owner, '') = '' THEN 'responsable' END)"""
+_OLD = f"(SELECT *, CAST(substr(id, 2) AS BIGINT) AS n FROM findings) f"
+query("import_history", f"""SELECT id AS changed_id, 'Reimportación (merge): actualizó ' || {_WROTE} AS description FROM {_OLD} WHERE n % 10 <> 4 AND {_WROTE} <> ''
+  UNION ALL SELECT NULL, 'Creación de hallazgo H-2026-' || (900000 + row_no) || ': ' || title FROM in_findings WHERE row_no % 10 = 4""")(lambda db: _finding_history(db))
+
+
+def _finding_history(db):
+    rows = _imported(db).history.filter("entity_type = 'finding'")
+    return rows.select(F.when(F.col("description").startswith("Reimportación"), F.col("entity_id")).alias("changed_id"), "description")
+
+
+query("import_batch_rows", f"""SELECT r.id AS report_id, 'merge' AS mode, r.source_filename, true AS has_fingerprint, count(*) FILTER (WHERE i.row_no % 10 = 4) AS created,
+  count(*) FILTER (WHERE i.row_no % 10 <> 4 AND {_WROTE} <> '') AS updated, count(*) FILTER (WHERE i.row_no % 10 <> 4 AND {_WROTE} = '') AS unchanged
+  FROM reports r JOIN in_findings i ON i.batch = 'b' || substr(r.id, 2) JOIN (SELECT n, f.responsible_area, f.action_owner FROM {_OLD}) o ON o.n = i.row_no GROUP BY ALL""".replace(
+      "coalesce(responsible_area", "coalesce(o.responsible_area").replace("coalesce(action_owner", "coalesce(o.action_owner"))(lambda db: _batch_log(db))
+
+
+def _batch_log(db):
+    number = lambda outcome: F.get_json_object("summary", f"$.counts.findings.{outcome}").cast("bigint").alias(outcome)
+    return _imported(db).tables.import_batches.select("report_id", "mode", "source_filename", (F.length("content_fingerprint") >= 32).alias("has_fingerprint"),
+                                                      *[number(o) for o in ("created", "updated", "unchanged")])
+
+
+query("import_renamed", "SELECT i.code AS wanted, count(*) AS rows, true AS renumbered FROM in_findings i WHERE i.code IN (SELECT code FROM findings) GROUP BY 1")(lambda db: _renamed(db))
+
+
+def _renamed(db):
+    """Findings of new reports whose code is taken get the next free number; no code is given twice."""
+    rows = _imported(db, "new").renamed.filter("entity = 'finding'")
+    fresh = rows.join(db.t.findings.select("code"), "code", "left_anti")
+    return fresh.groupBy("wanted").agg(F.count(F.lit(1)).alias("rows"), F.bool_and(F.col("code") != F.col("wanted")).alias("renumbered"))
