@@ -1,10 +1,14 @@
 """Blocked operators against plain windows, with one key holding most of the rows."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from rastro.functions import text as X
+from rastro.functions.basic import UNTIDY_SPACE
 from rastro.operators import blocks
+from rastro.plans import corpus
 
 
 def _rows(spark, n=3000):
@@ -30,3 +34,24 @@ def test_numbered_any_is_dense(spark):
     got = blocks.numbered_any(df.withColumn("id", F.col("i").cast("string")), ["k"], "id", "n").groupBy("k").agg(
         F.count("*").alias("c"), F.count_distinct("n").alias("d"), F.min("n").alias("lo"), F.max("n").alias("hi")).collect()
     assert all(r["c"] == r["d"] == r["hi"] and r["lo"] == 1 for r in got)
+
+
+def test_lines_are_dealt_by_ranges_once(spark, monkeypatch):
+    written = []
+    keep = blocks.settle
+    monkeypatch.setattr(blocks, "settle", lambda df, purpose: written.append(purpose) or keep(df, purpose))
+    lines = ["Hallazgo 1: pagos", "Riesgo: Alto", "Recomendación: firmar", "Hallazgo 2: saldos", "7. PROPUESTAS DE MEJORA", "1. Revisar (Hallazgo 2).", "y dejar constancia.", "2. Definir."]
+    df = spark.createDataFrame([(d, i, x) for d in range(40) for i, x in enumerate(lines)], "doc_id bigint, line_no bigint, line string").repartition(5)
+    got = {}
+    for span in (16, None):
+        sections = corpus.sectioned(df, span)
+        found, items = corpus.explicit_findings(sections, corpus.line_headers(df), span), corpus.global_proposals(sections, span)
+        got[span] = ([c for c in sections.columns if c != blocks.BLOCK], sorted(map(str, found.collect())), sorted(map(str, items.collect())))
+    assert written == ["ranges"] and got[16] == got[None] and len(got[16][1]) == 80 and len(got[16][2]) == 80
+
+
+def test_tidied_texts_match_the_plain_rule(spark):
+    texts = [" a  b ", "a\tb", "á b", "a b", "　x ", "a\x1f\x1fb", "ab", "", "Área  1", "\x85"]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", X.clean_text("t").alias("a"), X.tidied(F.col("t")).alias("b")).collect()
+    plain = lambda x: re.sub(UNTIDY_SPACE, " ", x).strip(" ")
+    assert [(r["a"], r["b"]) for r in rows] == [(plain(r["t"]),) * 2 for r in rows]
