@@ -89,6 +89,13 @@ def of_parents(children: DataFrame, parents: DataFrame, parent_key: str) -> Data
     return children.join(parents.select(F.col("id").alias(parent_key)), parent_key, "left_semi")
 
 
+def below(t: Tables) -> Tables:
+    """The tables with only the findings, proposals and plans under the given reports."""
+    findings = of_parents(t.findings, t.reports, "report_id").select(*t.findings.columns)
+    proposals = of_parents(t.proposals, findings, "finding_id").select(*t.proposals.columns)
+    return t.with_(findings=findings, proposals=proposals, action_plans=of_parents(t.action_plans, proposals, "proposal_id").select(*t.action_plans.columns))
+
+
 def by_id_or_code(df: DataFrame, key: str) -> DataFrame:
     return df.filter((F.col("id") == key) | (F.col("code") == key))
 

@@ -84,7 +84,7 @@ def report_detail(t: Tables, key: str) -> tuple[DataFrame, DataFrame]:
     hist = (t.audit_history.filter(F.col("entity_type") == "report")
             .join(one.reports.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
             .orderBy(F.desc("change_date"), F.desc("id")))
-    return H.trees(one, "report"), hist
+    return H.trees(H.below(one), "report"), hist
 
 
 def finding_history(t: Tables, finding_ids: DataFrame) -> DataFrame:

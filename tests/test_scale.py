@@ -32,3 +32,10 @@ def test_dump_is_compressed(spark, tmp_path):
     assert glob.glob(f"{path}/part-*") == glob.glob(f"{path}/part-*.json.gz") != []
     back = spark.read.schema(H.trees(_tables(spark), "report").schema).json(path)
     assert sorted(r[0] for r in back.select(F.explode("proposal.action_plans.id")).collect()) == ["a1", "a2", "a3", "a4"]
+
+
+def test_below_keeps_only_what_hangs_on_the_reports(spark):
+    t = _tables(spark)
+    one = H.below(t.with_(reports=t.reports.filter("id = 'r2'")))
+    ids = lambda df: sorted(r["id"] for r in df.collect())
+    assert [ids(one.findings), ids(one.proposals), ids(one.action_plans)] == [["f2"], ["p2"], ["a3", "a4"]]
