@@ -156,7 +156,12 @@ def apply_plan_sheet(findings: DataFrame, proposals: DataFrame, rows: DataFrame)
         F.count(F.lit(1)).alias("n"), F.any_value(F.struct(F.col("code").alias("p_code"), "action_owner")).alias("only"))
     known = findings.select("file", F.col("code").alias("h_code"), F.lit(True).alias("known"))
     has_p, has_h = nonblank("p_code"), nonblank("h_code")
-    judged = (rows.join(by_code, ["file", "p_code"], "left").join(known, ["file", "h_code"], "left").join(by_finding, ["file", "h_code"], "left")
+    # A row asks for its proposal's code, or without one for its finding: one look-up of both kinds, so that the rows are dealt once.
+    of_proposals = by_code.select("file", F.lit("proposal").alias("__by"), F.col("p_code").alias("__given"), "by_code")
+    of_findings = (known.join(by_finding, ["file", "h_code"], "full_outer")
+                   .select("file", F.lit("finding").alias("__by"), F.col("h_code").alias("__given"), "known", "n", "only"))
+    asked = rows.withColumns({"__by": F.when(has_p, "proposal").otherwise("finding"), "__given": F.when(has_p, F.col("p_code")).otherwise(F.col("h_code"))})
+    judged = (asked.join(of_proposals.unionByName(of_findings, allowMissingColumns=True), ["file", "__by", "__given"], "left")
               .withColumn("reason",
                           F.when(has_p & F.col("by_code").isNull(), "proposal_not_in_file")
                           .when(has_p & has_h & (F.col("by_code.h_code") != F.col("h_code")), "proposal_of_other_finding")
