@@ -56,3 +56,32 @@ def test_plan_rows_are_looked_up_once(spark):
         9: "finding_with_several_proposals", 10: "no_parent_given"}
     shuffles = rejects._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter")
     assert shuffles == 1
+
+
+def test_tasks_are_bounded(spark):
+    for key in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"):
+        spark.conf.set(key, "64MB")
+    N.tune(spark)
+    assert N._bytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")) == N.TASK_BYTES
+    assert N._bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")) == N.TASK_BYTES
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    N.tune(spark)
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "1m"  # a smaller bound is kept
+
+
+def test_shuffles_follow_the_input(spark):
+    try:
+        N.spread(spark, 40 * N.TASK_BYTES + 1)
+        assert spark.conf.get(INITIAL) == "41"
+        N.spread(spark, 10 * N.TASK_BYTES)
+        assert spark.conf.get(INITIAL) == "41"
+    finally:
+        spark.conf.unset(INITIAL)
+
+
+def test_texts_are_dealt_by_their_size(spark, tmp_path, monkeypatch):
+    spark.range(2000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 512).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = Db(spark, str(tmp_path))
+    assert db.parts == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(views, "TEXT_BYTES", 1 << 10)
+    assert db.parts > 50
