@@ -28,6 +28,8 @@ BASE = {"status": "string", "progress_pct": "int", "notes": "string", "target_da
 _GIVEN = ("notes", "target_date", "evidence_file", "action_owner")
 _OUT = ", ".join(["id string", "known boolean", "removed boolean", "late array<bigint>", *(f"{c} {t}" for c, t in BASE.items()), "entries array<int>", *(f"new_{c} string" for c in _GIVEN)])
 
+#: Plans per group that a stream begins with, and the groups that it has at least.
+GROUP, LEAST_GROUPS = 256, 256
 
 # Places of the statuses in schema.STATUSES.
 _OPEN, _SUSPENDED, _PENDING, _DONE = range(4)
@@ -176,6 +178,104 @@ class PlanState(StatefulProcessor):
         pass
 
 
+class _OfPlan:
+    """One plan's part of a group's state, in the shape that ``PlanState`` asks a handle for."""
+
+    def __init__(self, group: PlanGroup, plan_id: str | None):
+        self.group, self.plan_id = group, plan_id
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def get(self):
+        return self.group.held.get(self.plan_id, (None,))[:1] if self.plan_id in self.group.held else None
+
+    def update(self, value):
+        self.group.held[self.plan_id] = [value[0], self.group.held.get(self.plan_id, (None, None))[1]]
+
+    def getValue(self, key):
+        return self.group.changes.getValue((self.plan_id, *key))
+
+    def updateValue(self, key, value):
+        self.group.changes.updateValue((self.plan_id, *key), value)
+
+    def removeKey(self, key):
+        self.group.changes.removeKey((self.plan_id, *key))
+
+    def listTimers(self):
+        return iter(())
+
+    def registerTimer(self, at):
+        """The plan's latest timer counts; the group's earlier ones find nothing due."""
+        self.group.due[self.plan_id] = at
+        self.group.handle.registerTimer(at)
+
+
+class PlanGroup(StatefulProcessor):
+    """Some hundreds of plans under one key: every call to the store costs about as much as the work on a plan, and one call
+    reads or writes the plans of a group. List state: each plan's state and timer. Map state: the changes of busy plans by block."""
+
+    def __init__(self, timed: bool):
+        self.timed = timed
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.plans = handle.getListState("plans", "plan_id string, body string, due bigint")
+        self.changes = handle.getMapState("changes", "plan_id string, block bigint", "body string")
+
+    def _open(self) -> None:
+        self.held = {plan_id: [body, due] for plan_id, body, due in self.plans.get()}
+        self.due = {}
+
+    def _close(self) -> None:
+        for plan_id, at in self.due.items():
+            self.held[plan_id][1] = at
+        self.plans.put([(plan_id, *state) for plan_id, state in self.held.items()])
+
+    def _plan(self, plan_id) -> PlanState:
+        plan = PlanState(self.timed)
+        plan.init(_OfPlan(self, plan_id))
+        return plan
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self._open()
+        for row in initialState["plans"]:
+            self._plan(row["plan_id"]).handleInitialState((row["plan_id"],), row, timerValues)
+        self._close()
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        own: dict = {}
+        for r in rows:
+            own.setdefault(r["plan_id"], []).append(r)
+        if not own:
+            return iter(())
+        self._open()
+        told = [out for plan_id, some in own.items() for out in self._plan(plan_id).handleInputRows((plan_id,), iter(some), timerValues)]
+        self._close()
+        return iter(told)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self._open()
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        for plan_id, state in list(self.held.items()):
+            if state[1] is not None and state[1] <= now:
+                for _ in self._plan(plan_id).handleExpiredTimer((plan_id,), timerValues, expiredTimerInfo):
+                    pass
+                self.held[plan_id][1] = None
+        self._close()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def groups_for(plans: int) -> int:
+    """Groups of a new stream; their number stays with its checkpoint."""
+    return max(LEAST_GROUPS, plans // GROUP)
+
+
 def _events(changes: DataFrame, created: DataFrame | None, at: str | None) -> DataFrame:
     """One shape for changes, removals (``gone``) and announced plans."""
     none = {f"base_{c}": F.lit(None).cast(t) for c, t in BASE.items()}
@@ -192,7 +292,8 @@ def _events(changes: DataFrame, created: DataFrame | None, at: str | None) -> Da
     return out.filter(F.col("plan_id").isNotNull() & ((F.col("kind") != "change") | F.col("change_no").isNotNull()))
 
 
-def plan_states(changes: DataFrame, plans: DataFrame, created: DataFrame | None = None, at: str | None = None, lateness: str | None = None) -> DataFrame:
+def plan_states(changes: DataFrame, plans: DataFrame, created: DataFrame | None = None, at: str | None = None, lateness: str | None = None,
+                groups: int = LEAST_GROUPS) -> DataFrame:
     """A streaming change log (plan_id, change_no, ``CHANGE_COLUMNS``, gone) as a stream of plan states, in update mode.
 
     ``plans`` are the rows before the first change; they enter the state with the first batch of a checkpoint. ``created`` is a stream
@@ -201,6 +302,7 @@ def plan_states(changes: DataFrame, plans: DataFrame, created: DataFrame | None
 
     With ``at`` (a time column) and ``lateness``, changes behind the watermark are sealed and a number at or below a plan's last
     sealed one is given back in ``late`` and changes nothing; without them every order of arrival gives the same states.
+    The state is kept by ``groups`` of plans, always the same number for a checkpoint (``groups_for``).
 
     Out: id, known, removed, late, the plan's columns at first, and its changes as ``entries``, ``new_notes`` and so on.
     """
@@ -210,8 +312,10 @@ def plan_states(changes: DataFrame, plans: DataFrame, created: DataFrame | None
     events = _events(changes, created, at if lateness else None)
     if lateness:
         events = events.withWatermark("at", lateness)
-    first = plans.select(F.col("id").alias("plan_id"), *[F.col(c).cast(t).alias(c) for c, t in BASE.items()]).groupBy("plan_id")
-    return events.groupBy("plan_id").transformWithState(PlanState(bool(lateness)), _OUT, "Update", "EventTime" if lateness else "None", first)
+    first = plans.select(F.col("id").alias("plan_id"), *[F.col(c).cast(t).alias(c) for c, t in BASE.items()])
+    group = F.pmod(F.xxhash64("plan_id"), F.lit(groups)).alias("group")
+    first = first.groupBy(group).agg(F.collect_list(F.struct(*first.columns)).alias("plans")).groupBy("group")
+    return events.withColumn("group", group).groupBy("group").transformWithState(PlanGroup(bool(lateness)), _OUT, "Update", "EventTime" if lateness else "None", first)
 
 
 def as_change(entries: Column, notes: Column) -> Column:

@@ -240,3 +240,55 @@ def test_deletions_hold_after_replay_and_restart(spark, tmp_path):
 def test_a_micro_batch_needs_its_query(spark, tmp_path):
     with pytest.raises(RuntimeError):
         jobs._apply(spark, str(tmp_path), 0, lambda t: {})
+
+
+class GroupMemory(Memory):
+    """The state of a group of plans, in this process; counts the calls to the list of plans."""
+
+    def __init__(self):
+        super().__init__()
+        self.rows, self.calls = [], 0
+
+    def getListState(self, *_):
+        return GroupMemory.List(self)
+
+    class List:
+        def __init__(self, memory):
+            self.memory = memory
+
+        def get(self):
+            self.memory.calls += 1
+            return iter(list(self.memory.rows))
+
+        def put(self, rows):
+            self.memory.calls += 1
+            self.memory.rows = list(rows)
+
+
+def test_a_group_of_plans_costs_two_calls_and_seals_each_plan_at_its_own_time():
+    memory = GroupMemory()
+
+    def group():
+        out = planstate.PlanGroup(True)  # a restart each time
+        out.init(memory)
+        return out
+
+    def feed(*some):
+        rows = [{"plan_id": p, "kind": "change", "change_no": n, "asked": None, "pct": pct, "confirmed": False, "notes": None, "target_date": None, "evidence_file": None,
+                 "action_owner": None, "at": datetime.datetime.fromtimestamp(at)} for p, n, pct, at in some]
+        return {r["id"]: r for r in group().handleInputRows((0,), iter(rows), None)}
+
+    base = {c: None for c in planstate.BASE}
+    group().handleInitialState((0,), {"plans": [{"plan_id": f"a{i}", **base, "status": "En proceso", "progress_pct": 0} for i in range(300)]}, None)
+    assert memory.calls == 2 and len(memory.rows) == 300
+    out = feed(*[(f"a{i}", n, 10 * n, 100 if i else 900) for i in range(300) for n in (5, 3)])
+    assert memory.calls == 4 and len(out) == 300 and all(r["known"] and (r["entries"][0] >> 2 & 127) - 1 == 50 for r in out.values())
+    assert sorted(set(memory.timers)) == [100_000, 900_000]
+
+    class Expired:
+        def getExpiryTimeInMs(self):
+            return 100_000
+    assert list(group().handleExpiredTimer((0,), None, Expired())) == []
+    out = feed(("a0", 4, 70, 901), ("a1", 4, 70, 901))
+    assert out["a0"]["late"] == [] and out["a1"]["late"] == [4]  # a0 is not sealed before its own time
+    assert set(out) == {"a0", "a1"} and len(memory.rows) == 300
