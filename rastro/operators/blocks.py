@@ -62,11 +62,13 @@ def running(df: DataFrame, keys: list[str], order: str, specs: dict[str, tuple[s
     ends = {n: -1 if k.endswith("<") else 0 for n, (k, _) in specs.items()}
     parts = keys if span is None else [*keys, BLOCK]
     hidden = {f"__v_{n}": e for n, (_, e) in specs.items()}
-    base = df.withColumns(hidden)
+    base = local = df.withColumns(hidden)
     if span is not None and BLOCK not in df.columns:
-        base = dealt_by_ranges(base, keys, order)
+        dealt = dealt_by_ranges(df, keys, order)
+        # Dealt here and not by the window, so that the expressions are worked out behind the shuffle and do not go through it.
+        base, local = dealt.withColumns(hidden), dealt.repartition(*parts).withColumns(hidden)
     w = Window.partitionBy(*parts).orderBy(order)
-    local = base.withColumns({n: _local(kinds[n], F.col(f"__v_{n}"), w.rowsBetween(Window.unboundedPreceding, ends[n])) for n in specs})
+    local = local.withColumns({n: _local(kinds[n], F.col(f"__v_{n}"), w.rowsBetween(Window.unboundedPreceding, ends[n])) for n in specs})
     if span is None:
         zero = {n: F.coalesce(F.col(n), F.lit(0)) for n in specs if kinds[n] == "sum"}
         return local.withColumns(zero).select(*df.columns, *specs)
