@@ -55,3 +55,22 @@ def test_tidied_texts_match_the_plain_rule(spark):
     rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", X.clean_text("t").alias("a"), X.tidied(F.col("t")).alias("b")).collect()
     plain = lambda x: re.sub(UNTIDY_SPACE, " ", x).strip(" ")
     assert [(r["a"], r["b"]) for r in rows] == [(plain(r["t"]),) * 2 for r in rows]
+
+
+def test_rows_are_shuffled_once_by_bounds_from_a_sample(spark, monkeypatch):
+    """The range of a row follows from its values, so no range shuffle is needed and written rows are not written again."""
+    _, df = _rows(spark)
+    held, written = blocks.settle(df.union(spark.createDataFrame([(None, 5000, "x"), (None, None, "y"), ("é\"", 5001, None)], df.schema)), "rows"), []
+    monkeypatch.setattr(blocks, "settle", lambda df, purpose: written.append(purpose))
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        parted = held.withColumn("b", blocks.range_of(held, ["k"], "i"))
+        out = blocks.running(held, ["k"], "i", {"n": ("sum", F.lit(1))}, 100, written=True)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    ends = [r.asDict() for r in parted.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "i")).alias("lo"), F.max(F.struct("k", "i")).alias("hi")).orderBy("b").collect()]
+    key = lambda x: (x["k"] is not None, x["k"] or "", x["i"] is not None, x["i"] or 0)
+    assert len(ends) == 50 and max(e["n"] for e in ends) < 240 and all(key(a["hi"]) < key(b["lo"]) for a, b in zip(ends, ends[1:]))
+    assert written == [] and "RepartitionByExpression" in plan and "rangepartitioning" not in out._jdf.queryExecution().toString()
+    assert out.groupBy("k").agg((F.max("n") == F.count(F.lit(1))).alias("ok")).filter("not ok").count() == 0
